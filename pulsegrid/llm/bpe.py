@@ -29,7 +29,7 @@ from .store import plus
 
 NONE = np.int32(2**31 - 1)
 BLOCK_CHARS = 1 << 21
-CACHE_WORDS = 200_000
+CACHE_WORDS = 1_000_000
 _CLASS: list[np.ndarray] = []
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
