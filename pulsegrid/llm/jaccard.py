@@ -1,12 +1,12 @@
 """Exact Jaccard join of shingle sets by universe partition and pigeonhole.
 
-Sets with a similarity of at least 0.8 differ in at most a quarter of the
-larger one's shingles, d <= n // 4.  Equal sets are merged into classes first.
+Sets of n and s shingles with a similarity of at least 0.8 differ in at most
+d <= (n + s) / 9 of them.  Equal sets are merged into classes first.
 
 Size bands are [2**b, 2**(b + 1)).  Each band cuts the universe of shingles into
 ``segments(b)`` parts by hash.  A class indexes the shingles it has in each part
 (one signature for each non-empty part) in its own band, and also in the band
-below if a partner may lie there.  If more than n // 4 non-empty, selective
+below if a partner may lie there.  If more than d non-empty, selective
 parts are left, one of them is equal in any partner: equal signatures find it,
 and it is enough that this holds for one of the two.
 
@@ -43,22 +43,23 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import mix, ragged, shingle_sets
-from .store import batch, blobs, keep
+from .store import batch, blobs, keep, release
 
 HOT = 12
+CELLS = 128  # counts of shingles by hash cell; their L1 distance never exceeds the sets' difference
 BUCKET_ENTRIES = 1_000_000
 BLOCK = 4096
 LEAST = 4  # smaller sets have no partner but an equal one
 
 
-def bound(n):
-    """Most shingles in which a set of n may differ from a partner."""
-    return n // 4
+def bound(n, band):
+    """Most shingles in which a set of n may differ from a partner in a band."""
+    return (n + np.minimum(5 * n // 4, (2 << np.maximum(band, 0)) - 1)) // 9
 
 
 def segments(band: int) -> int:
     u = (2 << band) - 1
-    need, m = 1.12 * (bound(u) + 1) + 1, 2
+    need, m = 1.12 * (u // 4 + 1) + 1, 2
     while m * (1 - math.exp(-u / m)) < need:
         m += max(1, m // 64)
     return m
@@ -78,7 +79,7 @@ def classes_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def layout(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple:
-    """Which part each shingle falls into, in each row's own band (lower = 0) or the one below (1); last, the number of non-empty parts of each row."""
+    """Which part each shingle falls into, in each row's own band (lower = 0) or the one below (1); last, the number of non-empty parts of each row beyond the differences to expect."""
     n = np.diff(ptr)
     band = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1 - lower
     take = (n >= LEAST) & (band >= 2)
@@ -92,13 +93,13 @@ def layout(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple:
     part = (mix(own, 21) >> np.uint64(33)).astype(np.int64) % m[row]
     at = first[row] + part
     count = np.bincount(at, minlength=int(m.sum()))
-    k = np.bincount(np.repeat(np.arange(len(n)), m)[count > 0], minlength=len(n))
-    return n, band, take, m, first, own, row, at, count, k
+    spare = np.bincount(np.repeat(np.arange(len(n)), m)[count > 0], minlength=len(n)) - bound(n, band)
+    return n, band, take, m, first, own, row, at, count, spare
 
 
 def signatures(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures, their rows, and whether they are always needed (of rows with too few parts)."""
-    n, band, take, m, first, own, row, at, count, k = layout(flat, ptr, lower)
+    n, band, take, m, first, own, row, at, count, spare = layout(flat, ptr, lower)
     total = len(count)
     value = mix(own, 22)
     sums = np.zeros(total, np.uint64)
@@ -109,13 +110,13 @@ def signatures(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple[np.ndarra
     full = np.flatnonzero(count)
     sig, who = mix(sums[full] ^ salt[full], 1), owner[full]
     more, more_who = [], []
-    for r in np.flatnonzero(take & (k <= bound(n))):
+    for r in np.flatnonzero(take & (spare <= 0)):
         span = slice(first[r], first[r] + m[r])
         mine = np.flatnonzero(count[span]) + first[r]
         tokens = row == r
         more += [mix(sums[mine] ^ salt[mine], 2), mix((sums[at[tokens]] - value[tokens]) ^ salt[at[tokens]], 2)]
         size = len(mine) + int(tokens.sum())
-        if np.minimum(count[mine], 2).sum() <= bound(n[r]):
+        if np.minimum(count[mine], 2).sum() <= bound(n[r], band[r]):
             more.append(mix(own[tokens] ^ mix(np.array([band[r]], np.uint64), 24), 3))
             size += int(tokens.sum())
         more_who.append(np.full(size, r))
@@ -127,10 +128,13 @@ def signatures(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple[np.ndarra
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("k0", pa.int64()), ("k1", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("cells", pa.binary())])
     for b in batches:
         for lo, hi, flat, ptr, h1, h2 in classes_of(b.column(1)):
-            yield batch(schema, b.column(0)[lo:hi], np.diff(ptr), h1, h2, *(layout(flat, ptr, lower)[-1] for lower in (0, 1)))
+            n = np.diff(ptr)
+            cell = np.repeat(np.arange(hi - lo), n) * CELLS + (mix(flat, 31) >> np.uint64(57)).astype(np.int64)
+            cells = np.minimum(np.bincount(cell, minlength=(hi - lo) * CELLS), 65535).astype("<u2")
+            yield batch(schema, b.column(0)[lo:hi], n, h1, h2, *(layout(flat, ptr, lower)[-1] for lower in (0, 1)), blobs(np.full(hi - lo, 2 * CELLS), cells.tobytes()))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,16 +242,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, got.column(0), got.column(1))
 
 
-CELLS = 64
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of shingles by hash cell; their L1 distance never exceeds the sets' difference."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("cells", pa.binary())])
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and cells leave a link possible."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for b in batches:
-        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(1)]
-        cells = [np.bincount((mix(x, 31) >> np.uint64(58)).astype(np.int64), minlength=CELLS).astype("<i4").tobytes() for x in rows]
-        yield batch(schema, b.column(0), [len(x) for x in rows], cells)
+        n, m = b.column(2).to_numpy(), b.column(3).to_numpy()
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32) for c in (4, 5))
+        ok = (100 * np.minimum(n, m) >= 80 * np.maximum(n, m)) & (9 * np.abs(x - y).sum(1) <= n + m)
+        got = b.filter(pa.array(ok))
+        yield batch(schema, got.column(0), got.column(1))
 
 
 def _across(table: pa.Table) -> pa.Table:
@@ -256,7 +259,7 @@ def _across(table: pa.Table) -> pa.Table:
     table = table.take(pa.array(order))
     node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
     chunk, i, j = table["chunk"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-    cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<i4").reshape(-1, CELLS)
+    cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
     a, b = [], []
     reach = np.searchsorted(n, n * 5 // 4, "right")
     for x in range(len(node)):
@@ -276,6 +279,12 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
 
 
+def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    own = classes.select("node", "n", "cells")
+    a, b = (own.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("cells").alias(f"c{c}")) for c in "ab")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_prune, "a long, b long")
+
+
 def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Shingle sets of the documents whose ids are in nodes."""
     return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(_sets, "node long, set binary")
@@ -283,26 +292,26 @@ def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = keep(docs.mapInArrow(_members, "doc_id long, n long, h1 long, h2 long, k0 long, k1 long"), "members")
+    members = keep(docs.mapInArrow(_members, "doc_id long, n long, h1 long, h2 long, spare0 long, spare1 long, cells binary"), "members")
+    some = members.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "spare0", "spare1", "cells")).alias("c"))
+    classes = keep(some.select("h1", "h2", F.col("c.doc_id").alias("node"), "c.n", "c.spare0", "c.spare1", "c.cells"), "classes")
     size = members.agg(F.sum("n")).first()[0] or 0
-    buckets = max(16, size // BUCKET_ENTRIES)
-    coded = docs.mapInArrow(_coded, "h1 long, h2 long, doc_id long, sigs binary, tags binary")
-    one = coded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sigs", "tags")).alias("c")).select("c.doc_id", "c.sigs", "c.tags")
-    spread = one.mapInArrow(_spread(buckets), "bucket long, sig binary, step binary, tag binary")
-    met = keep(spread.groupBy("bucket").applyInArrow(_meet, "tag int, a long, b long"), "met")
+    met = keep(_candidates(docs, max(16, size // BUCKET_ENTRIES)), "met")
+    release(spark)
     pairs = met.where("tag = -1").select("a", "b").distinct()
 
     # entries of frequent signatures, of classes that can't do without them; tag: 1 lower band, 2 always needed
     hot = met.where("tag >= 0").select(F.col("a").alias("sig"), F.col("b").alias("node"), "tag")
     lost = hot.where("tag < 2").groupBy("node", "tag").agg(F.count("*").alias("lost"))
-    parts = members.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("n", "k0", "k1")))
-    short = lost.join(parts, "node").where(F.when(F.col("tag") == 0, F.col("k0")).otherwise(F.col("k1")) - F.col("lost") <= F.expr("n div 4")).select("node", "tag")
+    short = lost.join(classes.select("node", "spare0", "spare1"), "node").where(F.when(F.col("tag") == 0, F.col("spare0")).otherwise(F.col("spare1")) <= F.col("lost")).select("node", "tag")
     needed = keep(hot.where("tag >= 2").unionByName(hot.join(short, ["node", "tag"])).select("sig", "node").distinct(), "needed")
     hubs = needed.groupBy("sig").agg(F.min("node").alias("hub"))
     stars = needed.join(hubs, "sig").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = keep(pairs.unionByName(stars).distinct(), "pairs")
-    sets = keep(set_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+    pairs = keep(prune(pairs.unionByName(stars).distinct(), classes), "pairs")
+    sets = keep(set_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(needed.select("node")).distinct()), "sets")
+    release(spark)
     links = keep(verify(pairs, sets), "links")
     comps = components(links)
 
@@ -310,19 +319,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mixed = labelled.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most")
     rest = keep(labelled.join(mixed.select("sig", "size"), "sig"), "rest")
     if not rest.isEmpty():
-        cells = keep(sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", "set").mapInArrow(_sketches, "node long, n long, cells binary"), "cells")
         split = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
         split = split.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-        cross = split.join(cells, "node").groupBy("sig", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+        cross = split.join(classes.select("node", "n", "cells"), "node").groupBy("sig", "i", "j").applyInArrow(_across, "a long, b long").distinct()
         comps = components(links.unionByName(verify(keep(cross, "cross"), sets)))
 
-    nodes = members.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")).join(comps, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))
-    out = members.join(nodes, ["h1", "h2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
+    out = members.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node").join(comps, "node", "left"), ["h1", "h2"], "left")
+    own = F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
+def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
+    coded = docs.mapInArrow(_coded, "h1 long, h2 long, doc_id long, sigs binary, tags binary")
+    one = coded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sigs", "tags")).alias("c")).select("c.doc_id", "c.sigs", "c.tags")
+    spread = one.mapInArrow(_spread(buckets), "bucket long, sig binary, step binary, tag binary")
+    return spread.groupBy("bucket").applyInArrow(_meet, "tag int, a long, b long")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
