@@ -70,7 +70,7 @@ def close(a, b):
 
 @pytest.mark.parametrize("change", [lambda b: b, lambda b: b.replace("\n", "\r\n"), lambda b: b.removesuffix("==========\n")])
 def test_details_of_the_small_trace(spark, trace, change):
-    events, info, view = system(spark, trace(change(BODY)))
+    events, info, view = system(spark, trace(change(BODY), change(HEAD)))
     rows = V.details(events, view, info.ref_tsc).orderBy("group", "timestamp").select("group", "INST", "CLK", "metric_CPI").collect()
     want = [(1, 300.0, None, None), (1, None, 200.0, 2 / 3), (2, 400.0, None, None), (2, None, 200.0, 0.5)]
     assert all(close(x, y) for r, w in zip(rows, want, strict=True) for x, y in zip(r, w, strict=True))
