@@ -166,10 +166,10 @@ def route(docs: DataFrame, units: Units, classes: DataFrame) -> DataFrame:
     return docs.join(mine, "doc_id").select("doc_id", "text", "size", "anchors").mapInArrow(lambda it: merged(run(it), schema, 2000), "anchor long, cid long, doc_id long, start long, windows long, weight long, context binary")
 
 
-def decided(routed: DataFrame, shard: Callable[[pa.Table], pa.Table], result: str) -> DataFrame:
+def decided(routed: DataFrame, shard: Callable[[pa.Table], pa.Table], result: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Run shard on bounded groups of distinct contexts (anchor, cid, context, windows, doc_id: smallest, weight: total) and join its result to all places."""
     contexts = routed.groupBy("anchor", "cid").agg(F.first("context", ignorenulls=True).alias("context"), F.first("windows").alias("windows"), F.min("doc_id").alias("doc_id"), F.sum("weight").alias("weight"))
     size = routed.where("context is not null").agg(F.sum(F.octet_length("context"))).first()[0] or 0
-    shards = max(1, size // SHARD_BYTES)
+    shards = max(1, size // shard_bytes)
     found = contexts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, f"anchor long, cid long, {result}")
     return routed.select("anchor", "cid", "doc_id", "start", "windows").join(found, ["anchor", "cid"])

@@ -75,5 +75,5 @@ def plus(df: DataFrame, **columns: str) -> T.StructType:
     """df's schema with more columns at the end."""
     schema = T.StructType(list(df.schema.fields))
     for name, kind in columns.items():
-        schema = schema.add(name, kind)
+        schema = schema.add(T.StructType.fromDDL(f"`{name}` {kind}")[0])
     return schema

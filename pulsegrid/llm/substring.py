@@ -32,6 +32,7 @@ from .kernels import chunks, grams, raw, spans_hash, words
 from .store import batch, blobs, keep, plus
 
 WINDOW = 50
+SHARD_BYTES = 1 << 17  # an automaton takes over a hundred times its text
 
 
 class Words(Units):
@@ -175,7 +176,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members, classes = text_classes(docs)
     routed = keep(route(docs, Words(), classes), "routed")
-    spans = decided(routed, _shard, "first binary").select("doc_id", "start", "first").mapInArrow(_repeats, "doc_id long, a long, b long")
+    spans = decided(routed, _shard, "first binary", SHARD_BYTES).select("doc_id", "start", "first").mapInArrow(_repeats, "doc_id long, a long, b long")
     copies = members.join(classes.where("size > 1").select("cls", F.col("doc_id").alias("least")), "cls").where("doc_id > least")
     return spans_by_document(docs, spans, members, copies)
 
