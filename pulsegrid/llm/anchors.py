@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix, ragged, raw
+from .kernels import raw
 from .store import batch, keep
 
 SHARD_BYTES = 1 << 20
@@ -98,7 +98,7 @@ def samples(docs: DataFrame, units: Units) -> DataFrame:
                     new.append((i, cls))
             lens = np.diff(offs)[[i for i, _ in new]] if new else np.zeros(0, np.int64)
             sub = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
-            part = buf[ragged(offs[[i for i, _ in new]], lens)] if new else buf[:0]
+            part = np.concatenate([buf[offs[i] : offs[i + 1]] for i, _ in new]) if new else buf[:0]
             for (i, cls), (grams, _) in zip(new, units.split(part, sub), strict=True):
                 if len(grams) < units.window - units.gram + 1:
                     continue
