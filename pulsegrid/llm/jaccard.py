@@ -19,8 +19,9 @@ that is too little; such classes look for one another.
 Classes that need their frequent signatures are compared in two rounds.  First
 each with the smallest of its group, and links are joined to components.  Then,
 in groups that still hold several components, only across components, blockwise,
-and after a lower bound of the difference from counts of hashed shingles.  So no
-group makes all its pairs, and no link between different components is lost.
+and after a lower bound of the difference from counts of hashed shingles.  A block
+verifies its links itself and joins components on the way, so it gives fewer links
+than it has classes.  No group makes all its pairs, and no component is missed.
 
 Every candidate is verified on the whole sets.  Shingles are 64-bit hashes of
 five words (A-Z lower-cased); a text with fewer words is one shingle, one without
@@ -48,7 +49,7 @@ from .store import batch, blobs, keep, release
 HOT = 12
 CELLS = 128  # counts of shingles by hash cell; their L1 distance never exceeds the sets' difference
 BUCKET_ENTRIES = 1_000_000
-BLOCK = 4096
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000  # most classes and about most shingles of a block, compared with each other block
 LEAST = 4  # smaller sets have no partner but an equal one
 
 
@@ -224,21 +225,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch(schema, b.column(0)[lo:hi], blobs(np.diff(ptr) * 8, flat.tobytes()))
 
 
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of 0.8 or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < 80 * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for b in batches:
-        keep_ = []
-        for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            if 100 * len(x) < 80 * len(y):
-                continue
-            at = np.searchsorted(y, x)
-            both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-            if 100 * both >= 80 * (len(x) + len(y) - both):
-                keep_.append(i)
-        got = b.take(pa.array(keep_, pa.int64()))
+        ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+        got = b.filter(pa.array(ok, pa.bool_()))
         yield batch(schema, got.column(0), got.column(1))
 
 
@@ -254,23 +255,26 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one block of a frequent signature's group that may link and lie in different components."""
+    """Links of one block of a frequent signature's group that join different components: a spanning forest, so fewer than its rows."""
     order = np.argsort(table["n"].to_numpy(), kind="stable")
     table = table.take(pa.array(order))
     node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
     chunk, i, j = table["chunk"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-    cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
+    cells = np.stack([np.bincount((mix(x, 31) >> np.uint64(57)).astype(np.int64), minlength=CELLS) for x in sets]).astype(np.int32)
+    label = comp.copy()
     a, b = [], []
     reach = np.searchsorted(n, n * 5 // 4, "right")
     for x in range(len(node)):
         y = np.arange(x + 1, reach[x])
-        y = y[(comp[y] != comp[x]) & ((chunk[y] != chunk[x]) | (i == j))]
+        y = y[(label[y] != label[x]) & ((chunk[y] != chunk[x]) | (i == j))]
         if len(y):
-            far = np.abs(cells[y] - cells[x]).sum(1)
-            y = y[9 * far <= n[y] + n[x]]
-            a.append(np.minimum(node[y], node[x]))
-            b.append(np.maximum(node[y], node[x]))
-    a, b = (np.concatenate(z) if z else node[:0] for z in (a, b))
+            y = y[9 * np.abs(cells[y] - cells[x]).sum(1) <= n[y] + n[x]]
+        for z in y.tolist():
+            if label[z] != label[x] and linked(sets[x], sets[z]):
+                a.append(min(node[x], node[z]))
+                b.append(max(node[x], node[z]))
+                label[label == label[z]] = label[x]
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -315,15 +319,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = keep(verify(pairs, sets), "links")
     comps = components(links)
 
-    labelled = needed.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most")
-    rest = keep(labelled.join(mixed.select("sig", "size"), "sig"), "rest")
+    labelled = needed.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp")).join(classes.select("node", "n"), "node")
+    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size"), F.sum("n").alias("total")).where("least < most")
+    rest = keep(labelled.join(mixed.select("sig", "size", "total"), "sig"), "rest")
     if not rest.isEmpty():
-        split = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-        split = split.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        split = rest.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long"))
+        split = split.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-        cross = split.join(classes.select("node", "n", "cells"), "node").groupBy("sig", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-        comps = components(links.unionByName(verify(keep(cross, "cross"), sets)))
+        cross = split.select("sig", "i", "j", "chunk", "node", "comp", "n", "set").groupBy("sig", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+        comps = components(links.unionByName(keep(cross, "cross")))
 
     out = members.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node").join(comps, "node", "left"), ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
