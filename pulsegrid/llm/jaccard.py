@@ -254,22 +254,37 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, got.column(0), got.column(1))
 
 
+def _near(table: pa.Table, cells: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a block by ascending n: later rows of other labels whose sizes and cells leave a link possible."""
+    n, chunk = table["n"].to_numpy(), table["chunk"].to_numpy()
+    inside = table["i"][0].as_py() == table["j"][0].as_py()
+    reach = np.searchsorted(n, n * 5 // 4, "right")
+    for x in range(len(n)):
+        y = np.arange(x + 1, reach[x])
+        y = y[(label[y] != label[x]) & ((chunk[y] != chunk[x]) | inside)]
+        if len(y):
+            yield x, y[9 * np.abs(cells[y] - cells[x]).sum(1) <= n[y] + n[x]]
+
+
+def _possible(table: pa.Table) -> pa.Table:
+    """Rows of one block of a frequent signature's group that may link to another component."""
+    table = table.sort_by("n")
+    cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+    some = np.zeros(table.num_rows, bool)
+    for x, y in _near(table, cells, table["comp"].to_numpy()):
+        some[y] = True
+        some[x] |= len(y) > 0
+    return table.filter(pa.array(some)).drop_columns("cells")
+
+
 def _across(table: pa.Table) -> pa.Table:
-    """Links of one block of a frequent signature's group that join different components: a spanning forest, so fewer than its rows."""
-    order = np.argsort(table["n"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
-    chunk, i, j = table["chunk"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+    """Links of one block that join different components: a spanning forest, so fewer than its rows."""
+    table = table.sort_by("n")
+    node, label = table["node"].to_numpy(), table["comp"].to_numpy().copy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["set"]]
     cells = np.stack([np.bincount((mix(x, 31) >> np.uint64(57)).astype(np.int64), minlength=CELLS) for x in sets]).astype(np.int32)
-    label = comp.copy()
     a, b = [], []
-    reach = np.searchsorted(n, n * 5 // 4, "right")
-    for x in range(len(node)):
-        y = np.arange(x + 1, reach[x])
-        y = y[(label[y] != label[x]) & ((chunk[y] != chunk[x]) | (i == j))]
-        if len(y):
-            y = y[9 * np.abs(cells[y] - cells[x]).sum(1) <= n[y] + n[x]]
+    for x, y in _near(table, cells, label):
         for z in y.tolist():
             if label[z] != label[x] and linked(sets[x], sets[z]):
                 a.append(min(node[x], node[z]))
@@ -324,9 +339,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = keep(labelled.join(mixed.select("sig", "size", "total"), "sig"), "rest")
     if not rest.isEmpty():
         split = rest.withColumn("blocks", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("long"))
-        split = split.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(sets, "node")
+        split = split.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks"))).join(classes.select("node", "cells"), "node")
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-        cross = split.select("sig", "i", "j", "chunk", "node", "comp", "n", "set").groupBy("sig", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+        split = split.select("sig", "i", "j", "chunk", "node", "comp", "n", "cells")
+        # sets go only with rows that the cells leave
+        possible = keep(split.groupBy("sig", "i", "j").applyInArrow(_possible, split.drop("cells").schema), "possible")
+        cross = possible.join(sets, "node").groupBy("sig", "i", "j").applyInArrow(_across, "a long, b long").distinct()
         comps = components(links.unionByName(keep(cross, "cross")))
 
     out = members.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node").join(comps, "node", "left"), ["h1", "h2"], "left")
