@@ -16,7 +16,7 @@ from pulsegrid.llm.decontam import contaminated
 from pulsegrid.llm.jaccard import jaccard_components
 from pulsegrid.llm.langid import held_out, predict, train
 from pulsegrid.llm.linededup import dedup_lines
-from pulsegrid.llm.store import keep
+from pulsegrid.llm.store import keep, passing, survive
 
 LEAST_SCORE = 0.5
 
@@ -33,7 +33,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    with passing(spark):
+        first = survive(keep(jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "first"))
     return docs.join(first, "doc_id", "left_semi")
 
 

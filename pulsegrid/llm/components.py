@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import keep, passing, survive
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,15 @@ def components(edges: DataFrame) -> DataFrame:
     follows labels one step, so long chains shrink fast; labels are written to
     the shared folder after every round, and nothing but a flag reaches the driver.
     """
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
-    while True:
-        seen = labels.select(F.col("node").alias("b"), "comp")
-        least = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        step = labels.join(least, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        new = keep(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "far").alias("comp")), "labels")
-        if new.where("comp <> old").isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+    with passing(edges.sparkSession):
+        both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+        labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "labels")
+        while True:
+            seen = labels.select(F.col("node").alias("b"), "comp")
+            least = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+            step = labels.join(least, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
+            jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
+            new = keep(step.join(jump, "comp", "left").select("node", "old", F.least("comp", "far").alias("comp")), "labels")
+            if new.where("comp <> old").isEmpty():
+                return survive(new).select("node", "comp")
+            labels = new.select("node", "comp")

@@ -16,11 +16,15 @@ suffice.  Where they don't, one-deletion neighbourhoods are indexed (a part with
 two shingles or more then bears one difference), and single shingles where even
 that is too little; such classes look for one another.
 
-Classes that need their frequent signatures are compared in two rounds.  First
-each with the smallest of its group, and links are joined to components.  Then,
-in groups that still hold several components, only across components, blockwise,
-and after a lower bound of the difference from counts of hashed shingles.  So no
-group makes all its pairs, and no link between different components is lost.
+Classes that need their frequent signatures are compared in rounds.  First each
+with the smallest of its group, and links are joined to components.  Then, in
+groups that still hold several components, only across components and blockwise:
+a lower bound of the difference, from counts of hashed shingles, leaves a graph
+of possible links, of which a block proposes a spanning forest, nearest first,
+so fewer pairs than it has components.  Links found join components.  A block
+whose graph had more edges than it proposed comes again with ``FORESTS`` times as
+many edge-disjoint forests.  So links between components are found with few pairs, and
+none is lost: rounds end when every block has proposed all that was left.
 
 Every candidate is verified on the whole sets.  Shingles are 64-bit hashes of
 five words (A-Z lower-cased); a text with fewer words is one shingle, one without
@@ -43,12 +47,13 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import mix, ragged, shingle_sets
-from .store import batch, blobs, keep, release
+from .store import batch, blobs, keep, passing, release, survive
 
 HOT = 12
 CELLS = 128  # counts of shingles by hash cell; their L1 distance never exceeds the sets' difference
 BUCKET_ENTRIES = 1_000_000
 BLOCK = 4096
+FORESTS = 8
 LEAST = 4  # smaller sets have no partner but an equal one
 
 
@@ -253,25 +258,52 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, got.column(0), got.column(1))
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """Pairs of one block of a frequent signature's group that may link and lie in different components."""
-    order = np.argsort(table["n"].to_numpy(), kind="stable")
-    table = table.take(pa.array(order))
-    node, comp, n = (table[c].to_numpy() for c in ("node", "comp", "n"))
-    chunk, i, j = table["chunk"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-    cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
-    a, b = [], []
-    reach = np.searchsorted(n, n * 5 // 4, "right")
-    for x in range(len(node)):
-        y = np.arange(x + 1, reach[x])
-        y = y[(comp[y] != comp[x]) & ((chunk[y] != chunk[x]) | (i == j))]
-        if len(y):
-            far = np.abs(cells[y] - cells[x]).sum(1)
-            y = y[9 * far <= n[y] + n[x]]
-            a.append(np.minimum(node[y], node[x]))
-            b.append(np.maximum(node[y], node[x]))
-    a, b = (np.concatenate(z) if z else node[:0] for z in (a, b))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _across(forests: int):
+    """Of one block of a frequent signature's group: edge-disjoint spanning forests of its possible links across components; if any are left, a last row (null, sig)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("n")
+        node, n, chunk = (table[c].to_numpy() for c in ("node", "n", "chunk"))
+        inside = table["i"][0].as_py() == table["j"][0].as_py()
+        comp = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
+        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
+        coarse = cells.reshape(len(cells), 16, -1).sum(2)  # a cheaper, weaker bound first
+        if coarse.max() < 2**15:
+            cells, coarse = cells.astype(np.int16), coarse.astype(np.int16)
+        reach = np.searchsorted(n, n * 5 // 4, "right")
+        labels: list[np.ndarray] = []  # of each forest begun
+        a, b, more = [], [], False
+        for x in range(len(node)):
+            later = slice(x + 1, reach[x])
+            ok = comp[later] != comp[x]
+            if not inside:
+                ok &= chunk[later] != chunk[x]
+            ok &= 9 * np.abs(coarse[later] - coarse[x]).sum(1, dtype=np.int32) <= n[later] + n[x]
+            y = np.flatnonzero(ok) + x + 1
+            if more and labels:  # nothing to learn from pairs that no forest has room for
+                y = y[np.any([own[y] != own[x] for own in labels], axis=0)]
+            far = np.abs(cells[y] - cells[x]).sum(1, dtype=np.int32)
+            ok = 9 * far <= n[y] + n[x]
+            y = y[ok][np.argsort(far[ok], kind="stable")]
+            for k in range(forests):
+                if not len(y):
+                    break
+                if k == len(labels):
+                    labels.append(comp.copy())
+                own = labels[k]
+                other, at = np.unique(own[y], return_index=True)
+                new = at[other != own[x]]
+                if len(new):
+                    a.append(np.minimum(node[x], node[y[new]]))
+                    b.append(np.maximum(node[x], node[y[new]]))
+                    own[np.isin(own, own[y[new]])] = own[x]
+                    y = np.delete(y, new)
+            more |= len(y) > 0
+        a, b = (np.concatenate(z) if z else node[:0] for z in (a, b))
+        left = pa.array([None] * more, pa.int64()), pa.array(table["sig"].to_pylist()[:1] * more, pa.int64())
+        return pa.table({"a": pa.concat_arrays([pa.array(a, pa.int64()), left[0]]), "b": pa.concat_arrays([pa.array(b, pa.int64()), left[1]])})
+
+    return run
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -298,38 +330,56 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     some = members.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "spare0", "spare1", "cells")).alias("c"))
     classes = keep(some.select("h1", "h2", F.col("c.doc_id").alias("node"), "c.n", "c.spare0", "c.spare1", "c.cells"), "classes")
     size = members.agg(F.sum("n")).first()[0] or 0
-    met = keep(_candidates(docs, max(16, size // BUCKET_ENTRIES)), "met")
-    release(spark)
-    pairs = met.where("tag = -1").select("a", "b").distinct()
-
-    # entries of frequent signatures, of classes that can't do without them; tag: 1 lower band, 2 always needed
-    hot = met.where("tag >= 0").select(F.col("a").alias("sig"), F.col("b").alias("node"), "tag")
-    lost = hot.where("tag < 2").groupBy("node", "tag").agg(F.count("*").alias("lost"))
-    short = lost.join(classes.select("node", "spare0", "spare1"), "node").where(F.when(F.col("tag") == 0, F.col("spare0")).otherwise(F.col("spare1")) <= F.col("lost")).select("node", "tag")
-    needed = keep(hot.where("tag >= 2").unionByName(hot.join(short, ["node", "tag"])).select("sig", "node").distinct(), "needed")
-    hubs = needed.groupBy("sig").agg(F.min("node").alias("hub"))
-    stars = needed.join(hubs, "sig").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = keep(prune(pairs.unionByName(stars).distinct(), classes), "pairs")
-    sets = keep(set_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(needed.select("node")).distinct()), "sets")
-    release(spark)
-    links = keep(verify(pairs, sets), "links")
-    comps = components(links)
-
-    labelled = needed.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = labelled.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most")
-    rest = keep(labelled.join(mixed.select("sig", "size"), "sig"), "rest")
-    if not rest.isEmpty():
-        split = rest.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
-        split = split.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-        cross = split.join(classes.select("node", "n", "cells"), "node").groupBy("sig", "i", "j").applyInArrow(_across, "a long, b long").distinct()
-        comps = components(links.unionByName(verify(keep(cross, "cross"), sets)))
+    with passing(spark):
+        met = keep(_candidates(docs, max(16, size // BUCKET_ENTRIES)), "met")
+        release(spark)
+        needed = survive(keep(_needed(met.where("tag >= 0").select(F.col("a").alias("sig"), F.col("b").alias("node"), "tag"), classes), "needed"))
+        hubs = needed.groupBy("sig").agg(F.min("node").alias("hub"))
+        stars = needed.join(hubs, "sig").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        pairs = survive(keep(prune(met.where("tag = -1").select("a", "b").unionByName(stars).distinct(), classes), "pairs"))
+    with passing(spark):
+        sets = keep(set_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(needed.select("node")).distinct()), "sets")
+        release(spark)
+        comps = survive(_joined(needed, classes, sets, components(keep(verify(pairs, sets), "links"))))
 
     out = members.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node").join(comps, "node", "left"), ["h1", "h2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
+def _needed(hot: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, node) of frequent signatures and the classes that can't do without them; hot has tag: 1 lower band, 2 always needed."""
+    lost = hot.where("tag < 2").groupBy("node", "tag").agg(F.count("*").alias("lost"))
+    short = lost.join(classes.select("node", "spare0", "spare1"), "node").where(F.when(F.col("tag") == 0, F.col("spare0")).otherwise(F.col("spare1")) <= F.col("lost")).select("node", "tag")
+    return hot.where("tag >= 2").unionByName(hot.join(short, ["node", "tag"])).select("sig", "node").distinct()
+
+
+def _joined(needed: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """comps after the links across components in groups of frequent signatures; a table of keep()."""
+    comps, open_, forests = keep(comps, "comps"), needed, 1
+    while True:
+        labelled = open_.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most")
+        split = labelled.join(mixed.select("sig", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), "sig").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+        split = split.join(classes.select("node", "n", "cells"), "node").select("sig", "i", "j", "chunk", "node", "comp", "n", "cells")
+        cross = keep(split.groupBy("sig", "i", "j").applyInArrow(_across(forests), "a long, b long"), "cross")
+        links = verify(cross.where("a is not null").distinct(), sets)
+        for end in "ab":
+            own = comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
+            links = links.join(own, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        links = keep(links.distinct(), "links")
+        if not links.isEmpty():  # of components: the smallest node of several is the smallest component
+            merged = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+            every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").withColumn("comp", F.col("node")))
+            comps = keep(every.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+        left = cross.where("a is null").select(F.col("b").alias("sig")).distinct()
+        if left.isEmpty():
+            return comps
+        open_, forests = needed.join(left, "sig", "left_semi"), forests * FORESTS
+        release(needed.sparkSession)
+
+
 def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
     coded = docs.mapInArrow(_coded, "h1 long, h2 long, doc_id long, sigs binary, tags binary")
     one = coded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sigs", "tags")).alias("c")).select("c.doc_id", "c.sigs", "c.tags")

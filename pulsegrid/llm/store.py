@@ -10,12 +10,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _LOCAL: list[str] = []
+_OPEN: list[list[str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -40,7 +43,34 @@ def save(df: DataFrame, name: str) -> str:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back: a checkpoint with column pruning."""
-    return df.sparkSession.read.schema(df.schema).parquet(save(df, name))
+    path = save(df, name)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that keep() writes inside are removed at the end, unless survive() is called for them.
+
+    Whatever is used later must be written by then: a plan that still reads a removed table fails.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove(spark, path)
+
+
+def survive(kept: DataFrame) -> DataFrame:
+    """A table of keep() that outlives the innermost passing() and belongs to the one around it."""
+    _OPEN[-1].remove(kept._kept_at)
+    if len(_OPEN) > 1:
+        _OPEN[-2].append(kept._kept_at)
+    return kept
 
 
 def release(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +286,36 @@ def test_pipeline_beside_a_plain_version(spark, docs, tmp_path):
     item = shingle_set(" ".join(PASSAGE.split()[:30]))
     left = {i: t for i, t in left.items() if comp[i] == i and len(item & shingle_set(t)) < 0.8 * len(item)}
     assert got == {i: len(library().encode(t, add_special_tokens=False).ids) for i, t in left.items()}
+
+
+@pytest.mark.parametrize("truth", [0.0, 0.1, 1.0])
+def test_forests_lose_no_link(truth):
+    """Rounds of one block end with the components of all its true links, whichever of the possible pairs are true."""
+    rng = np.random.default_rng(5)
+    n = 60
+    base = rng.integers(0, 3, (4, jaccard.CELLS))
+    cells = (base[rng.integers(0, 4, n)] + (rng.random((n, jaccard.CELLS)) < 0.05)).astype("<u2")
+    size = cells.sum(1).astype(np.int64)
+    comp = np.arange(n)
+    possible = {(x, y) for x in range(n) for y in range(x + 1, n) if 9 * np.abs(cells[x].astype(int) - cells[y]).sum() <= size[x] + size[y] and max(size[x], size[y]) <= min(size[x], size[y]) * 5 // 4}
+    true = {p for p in sorted(possible) if rng.random() < truth}
+
+    def merge(label, links):
+        label = label.copy()
+        for x, y in links:
+            label[label == max(label[x], label[y])] = min(label[x], label[y])
+        return label
+
+    found, forests, rounds = comp, 1, 0
+    while True:
+        zero = pa.array(np.zeros(n, np.int64))
+        out = jaccard._across(forests)(pa.table({"sig": zero, "i": zero, "j": zero, "chunk": zero, "node": comp, "comp": found, "n": size, "cells": pa.array([c.tobytes() for c in cells], pa.binary())}))
+        pairs = {(a, b) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True) if a is not None}
+        assert pairs <= possible and len(pairs) <= forests * (n - 1)
+        assert all(found[a] != found[b] for a, b in pairs)
+        found, forests, rounds = merge(found, pairs & true), forests * jaccard.FORESTS, rounds + 1
+        if not out["a"].null_count:
+            break
+    assert len(possible) > n
+    assert (found == merge(comp, true)).all()
+    assert truth < 1 or rounds <= 2
