@@ -53,7 +53,7 @@ HOT = 12
 CELLS = 128  # counts of shingles by hash cell; their L1 distance never exceeds the sets' difference
 BUCKET_ENTRIES = 1_000_000
 BLOCK = 4096
-FORESTS = 8
+FORESTS = 64
 LEAST = 4  # smaller sets have no partner but an equal one
 
 
