@@ -4,7 +4,8 @@ A document's lines are its text split at LF; a line is compared without
 surrounding spaces and tabs, blank lines are always kept.  A line goes if an
 earlier line (by doc_id, then line number; judged on the input) is within its
 edit bound: equal, or, for lines of at most ``FUZZY_CHARS`` characters, one
-inserted, deleted or replaced character away.  Longer lines have the bound 0.
+inserted, deleted or replaced character away.  Longer lines have the bound 0,
+as in ``OP2_SQL``; with ``fuzzy_chars=None`` lines of every length have the bound 1.
 
 Equal lines are first reduced to their earliest place.  Each short distinct
 line then emits itself and every variant with one character deleted, as hashed
@@ -14,6 +15,14 @@ In a group of equal keys every line takes the earliest line that agrees in this
 way, which is enough to decide it; so groups make no pairs, only one row for
 each line and key, verified with ``levenshtein`` at the end.
 
+Without a limit, lines of ``SHORT`` characters or more don't emit a variant for
+each character.  With m the length of the shorter line of two, one edit leaves
+the first or the last (m - 1) / 2 characters intact, so each line emits hashes of
+both, for m its own length and one less.  Lines that share one are cut into parts
+of ``PART`` characters, for both m: an edit lies in one part, and what stands
+before and after it is equal.  Parts with equal surroundings are compared by
+their variants, as short lines are.
+
 The numbers of removed lines are gathered for each document, and the text is
 put together anew.  Null text has no lines and stays null.  Rows with one doc_id
 count as the same document: they get the same decisions.  A null doc_id sorts
@@ -28,25 +37,54 @@ from pyspark.sql import functions as F
 from .store import keep, passing, survive
 
 FUZZY_CHARS = 64
+SHORT = 64  # without a limit: longer lines are compared by parts
+PART = 32
 
 
 def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
-def removed_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key stands in several."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), key, "left_semi")
+
+
+def _halves() -> Column:
+    """Hashes of what one edit may leave intact at the start or end of a line, with the length of the shorter line of two."""
+    own = [F.expr(f"xxhash64(length(line) - {less}, {end}, {part}(line, int((length(line) - {less} - 1) div 2)))") for less in (0, 1) for end, part in enumerate(("left", "right"))]
+    return F.when(F.length("line") > SHORT, F.array(*own)).when(F.length("line") == SHORT, F.array(*own[:2]))
+
+
+def _parts(long: DataFrame) -> DataFrame:
+    """first, a hash of the surroundings and the part, for each part of long lines (first, line)."""
+    lengths = long.select("first", "line", F.explode(F.expr(f"filter(array(length(line), length(line) - 1), m -> m >= {SHORT})")).alias("m"))
+    cut = lengths.select("first", "line", "m", F.explode(F.expr(f"sequence(0, int((m - 1) div {PART}))")).alias("j"))
+    cut = cut.withColumns({"before": F.expr(f"int(j * {PART})"), "after": F.expr(f"int(greatest(m - (j + 1) * {PART}, 0))")})
+    around = F.expr("xxhash64(m, j, left(line, before), right(line, after))")
+    return cut.select("first", around.alias("c"), F.expr("substr(line, before + 1, length(line) - before - after)").alias("part"))
+
+
+def removed_lines(docs: DataFrame, fuzzy_chars: int | None = FUZZY_CHARS) -> DataFrame:
     """doc_id and the sorted numbers (from 0) of its lines that go; documents that lose none are absent."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("doc_id", "no", F.trim(F.translate("line", "\t\r", "  ")).alias("line")).where("line <> ''")
-    short = F.length("line") <= fuzzy_chars
-    hashed = lines.select(_key(F.col("line")).alias("k"), F.struct("doc_id", "no").alias("at"), F.when(short, F.col("line")).alias("line"))
+    short = F.length("line") <= (SHORT if fuzzy_chars is None else fuzzy_chars)
+    hashed = lines.select(_key(F.col("line")).alias("k"), F.struct("doc_id", "no").alias("at"), F.when(short, F.col("line")).alias("line"), *([_halves().alias("halves")] if fuzzy_chars is None else []))
     with passing(docs.sparkSession):
-        distinct = keep(hashed.groupBy("k").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.first("line").alias("line")), "lines")
+        distinct = keep(hashed.groupBy("k").agg(F.min("at").alias("first"), F.max("at").alias("last"), *(F.first(c).alias(c) for c in hashed.columns[2:])), "lines")
 
         some = distinct.where("line is not null").select("first", "line")
-        at = F.explode(F.sequence(F.lit(0), F.length("line")))  # 0: the line itself
-        variants = some.select("first", "line", at.alias("i")).select(
-            "first", "i", F.when(F.col("i") == 0, F.col("line")).otherwise(F.concat(F.expr("substr(line, 1, i - 1)"), F.expr("substr(line, i + 1)"))).alias("v"))
-        groups = variants.select(F.xxhash64("v").alias("v"), F.struct("i", "first").alias("m")).groupBy("v").agg(F.collect_list("m").alias("g")).where(F.size("g") > 1)
+        parts = some.select("first", F.lit(0).cast("long").alias("c"), F.col("line").alias("part"))
+        if fuzzy_chars is None:
+            likely = _shared(distinct.select("k", F.col("first").alias("at"), F.explode("halves").alias("h")), "h").select("k", "at").distinct()
+            whole = lines.where(F.length("line") >= SHORT).select(_key(F.col("line")).alias("k"), F.struct("doc_id", "no").alias("at"), "line")
+            long = keep(whole.join(likely, ["k", "at"], "left_semi").select(F.col("at").alias("first"), "line").distinct(), "long")
+            parts = parts.unionByName(_shared(_parts(long), "c").select("first", "c", "part"))
+            some = some.unionByName(long.where(F.length("line") > SHORT))
+        at = F.explode(F.sequence(F.lit(0), F.length("part")))  # 0: the part itself
+        variants = parts.select("first", "c", "part", at.alias("i")).select(
+            "first", "c", "i", F.when(F.col("i") == 0, F.col("part")).otherwise(F.concat(F.expr("substr(part, 1, i - 1)"), F.expr("substr(part, i + 1)"))).alias("v"))
+        groups = variants.select(F.xxhash64("c", "v").alias("v"), F.struct("i", "first").alias("m")).groupBy("v").agg(F.collect_list("m").alias("g")).where(F.size("g") > 1)
         # earliest place for each position, and over all of them, in each group
         member = groups.select(F.explode("g").alias("m"), "g")
         agrees = F.filter("g", lambda x: ((x["i"] == F.col("m.i")) | (x["i"] == 0) | (F.col("m.i") == 0)) & (x["first"] < F.col("m.first")))
@@ -60,7 +98,7 @@ def removed_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS) -> DataFrame:
         return survive(keep(places.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_set("at.no")).alias("gone")), "gone"))
 
 
-def dedup_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, fuzzy_chars: int | None = FUZZY_CHARS, text: str = "text") -> DataFrame:
     """docs with the text that is left, and n_lines and n_removed; other columns pass through."""
     docs = docs.drop("n_lines", "n_removed", "gone")
     gone = removed_lines(docs.select("doc_id", F.col(text).alias("text")), fuzzy_chars).select(F.col("doc_id").alias("_id"), "gone")

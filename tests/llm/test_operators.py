@@ -319,3 +319,29 @@ def test_forests_lose_no_link(truth):
     assert len(possible) > n
     assert (found == merge(comp, true)).all()
     assert truth < 1 or rounds <= 2
+
+
+def test_line_dedup_without_a_limit(spark, docs):
+    """Long lines one edit apart, at every place of the line and around the lengths where parts begin."""
+    r = random.Random(12)
+    rows, seen, want = [], [], {}
+    for n in (62, 63, 64, 65, 66, 95, 96, 97, 127, 128, 129, 130, 300):
+        stem = "".join(r.choice("abcdefgh") for _ in range(n))
+        lines = [stem]
+        for at in sorted({0, 1, n // 2 - 1, n // 2, n // 2 + 1, n - 1, *(x for x in (31, 32, 33, 63, 64, 65) if x < n)}):
+            lines += [stem[:at] + "X" + stem[at + 1 :], stem[:at] + "Y" + stem[at:], stem[:at] + stem[at + 1 :], stem[:at] + "Z" + stem[at:][::-1]]
+        r.shuffle(lines)
+        rows.append((len(rows), "\n".join(lines), None, None, 0))
+    rows += [(100 + i, t, None, None, 0) for i, t in enumerate(TEXTS)]
+    for i, text, *_ in rows:
+        kept = []
+        for line in (text or "").split("\n"):
+            key = line.replace("\t", " ").replace("\r", " ").strip(" ")
+            if not key or not any(edits(k, key) <= 1 for k in seen):
+                kept.append(line)
+            if key:
+                seen.append(key)
+        want[i] = None if text is None else "\n".join(kept)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df, None).collect()} == want
+    assert linededup.dedup_lines(docs.limit(0), None).count() == 0
