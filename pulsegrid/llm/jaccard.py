@@ -8,7 +8,8 @@ Size bands are [2**b, 2**(b + 1)).  Each band cuts the universe of shingles into
 (one signature for each non-empty part) in its own band, and also in the band
 below if a partner may lie there.  If more than d non-empty, selective
 parts are left, one of them is equal in any partner: equal signatures find it,
-and it is enough that this holds for one of the two.
+and it is enough that this holds for one of the two.  In its own band a class
+counts with the largest partner that may look there, of the band above included.
 
 Cost-based allocation: a part that is empty, or whose subset is shared by more
 than ``HOT`` classes, tells little and gets no share, as long as the others
@@ -57,9 +58,9 @@ FORESTS = 64
 LEAST = 4  # smaller sets have no partner but an equal one
 
 
-def bound(n, band):
-    """Most shingles in which a set of n may differ from a partner in a band."""
-    return (n + np.minimum(5 * n // 4, (2 << np.maximum(band, 0)) - 1)) // 9
+def bound(n, band, lower):
+    """Most shingles in which a set of n may differ from a partner that meets it in a band: its own (lower = 0), where larger partners of the band above look too, or the one below (1)."""
+    return (n + (np.minimum(5 * n // 4, (2 << np.maximum(band, 0)) - 1) if lower else 5 * n // 4)) // 9
 
 
 def segments(band: int) -> int:
@@ -98,7 +99,7 @@ def layout(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple:
     part = (mix(own, 21) >> np.uint64(33)).astype(np.int64) % m[row]
     at = first[row] + part
     count = np.bincount(at, minlength=int(m.sum()))
-    spare = np.bincount(np.repeat(np.arange(len(n)), m)[count > 0], minlength=len(n)) - bound(n, band)
+    spare = np.bincount(np.repeat(np.arange(len(n)), m)[count > 0], minlength=len(n)) - bound(n, band, lower)
     return n, band, take, m, first, own, row, at, count, spare
 
 
@@ -121,7 +122,7 @@ def signatures(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple[np.ndarra
         tokens = row == r
         more += [mix(sums[mine] ^ salt[mine], 2), mix((sums[at[tokens]] - value[tokens]) ^ salt[at[tokens]], 2)]
         size = len(mine) + int(tokens.sum())
-        if np.minimum(count[mine], 2).sum() <= bound(n[r], band[r]):
+        if np.minimum(count[mine], 2).sum() <= bound(n[r], band[r], lower):
             more.append(mix(own[tokens] ^ mix(np.array([band[r]], np.uint64), 24), 3))
             size += int(tokens.sum())
         more_who.append(np.full(size, r))

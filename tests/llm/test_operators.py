@@ -345,3 +345,19 @@ def test_line_dedup_without_a_limit(spark, docs):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert {x["doc_id"]: x["text"] for x in linededup.dedup_lines(df, None).collect()} == want
     assert linededup.dedup_lines(docs.limit(0), None).count() == 0
+
+
+def test_jaccard_components_across_a_band_border(spark):
+    """Templates of 36 shingles in many slightly longer copies, and one copy of 31 shingles that links to the template alone."""
+    r, rows, want = random.Random(31), [], {}
+    for _ in range(60):
+        stem, sets = [r.choice(WORDS) for _ in range(40)], {}
+        cut = r.randint(0, 5)
+        short = stem[cut : 35 + cut]
+        short[r.choice([0, -1])] = "new"
+        for own in [stem, short, *([f"w{k}", *stem] if k % 2 else [*stem, f"w{k}"] for k in range(30))]:
+            rows.append((len(rows), " ".join(own), None, None, 0))
+            sets[len(rows) - 1] = shingle_set(rows[-1][1])
+        want |= components(sets)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == want
