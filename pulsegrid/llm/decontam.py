@@ -8,8 +8,13 @@ MinHash values of windows and items are compared one by one; any equal one makes
 the pair a candidate.  A candidate counts if the document's shingle set holds at
 least ``threshold`` of the item's, compared exactly.
 
-An item found whole has a Jaccard similarity of over 0.19 with its window even in the worst
-case, so a miss has a probability below (1 - 0.19) ** 96, about 1e-9.
+Items of fewer than ``FEW`` shingles are too small a part of the smallest window.
+They are looked up exactly: a document with one of their shingles is a candidate.
+
+A larger item has a Jaccard similarity of over 0.19 with its window if four fifths
+of it or more stand inside, so a miss has a probability below (1 - 0.19) ** 96,
+about 2e-9.  Shingles of one item scattered over several windows have less in each,
+and a greater probability of a miss.
 
 Words are lower-cased (A-Z), shingles have five words.  Documents or items that
 are null, empty or shorter than five words have no shingles and are never
@@ -31,6 +36,7 @@ from .store import batch
 
 HASHES = 96
 SMALLEST = 16
+FEW = 8
 ITEM_BLOCK = 20_000
 _RNG = np.random.default_rng(8)
 XOR = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -38,7 +44,7 @@ ODD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint6
 
 
 class Items:
-    """Item shingle sets and, by size partition and hash, sorted MinHash values."""
+    """Item shingle sets, sorted shingles of the smallest items and, by size partition and hash, sorted MinHash values."""
 
     def __init__(self, ids: list, texts: pa.Array):
         self.ids, self.sets = [], []
@@ -50,8 +56,13 @@ class Items:
                     self.sets.append(own)
         sizes = np.array([max(SMALLEST, 1 << int(len(s) - 1).bit_length()) for s in self.sets], np.int64)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for u in sorted(set(sizes.tolist())):
-            own = np.flatnonzero(sizes == u)
+        few = np.array([len(s) < FEW for s in self.sets], bool)
+        own = np.flatnonzero(few)
+        flat = np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in own)])
+        order = np.argsort(flat, kind="stable")
+        self.few = flat[order], np.repeat(own, [len(self.sets[i]) for i in own])[order]
+        for u in sorted(set(sizes[~few].tolist())):
+            own = np.flatnonzero((sizes == u) & ~few)
             mins = np.array([((self.sets[i][:, None] ^ XOR) * ODD).min(0) for i in own])
             order = np.argsort(mins, axis=0, kind="stable")
             self.tables[u] = np.take_along_axis(mins, order, 0), own[order]
@@ -73,6 +84,12 @@ def block_mins(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(h: np.ndarray, ptr: np.ndarray, items: Items) -> set[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
+    values, owner = items.few
+    if len(h) and len(values):
+        left, right = np.searchsorted(values, h, "left"), np.searchsorted(values, h, "right")
+        row = np.searchsorted(ptr, np.arange(len(h)), "right") - 1
+        for at in np.flatnonzero(right > left):
+            found.update((int(row[at]), int(i)) for i in owner[left[at] : right[at]])
     if not len(h) or not items.tables:
         return found
     mins, first = block_mins(h, ptr)

@@ -361,3 +361,13 @@ def test_jaccard_components_across_a_band_border(spark):
         want |= components(sets)
     got = {x["doc_id"]: x["component_id"] for x in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == want
+
+
+def test_decontamination_finds_small_items():
+    """Items of 1 to 12 shingles that stand whole inside long documents."""
+    texts = [prose(400, 1000 + n) for n in range(100)]
+    spans = [(n, at, 5 + k % 12 if k % 2 else 5) for n in range(100) for k, at in enumerate(range(0, 380, 19))]
+    known = decontam.Items(list(range(len(spans))), pa.array([" ".join(texts[n].split()[at : at + k]) for n, at, k in spans]))
+    h, first = decontam.word_hashes(*decontam.raw(pa.array(texts)), True)
+    found = decontam.candidates(*decontam.shingles(h, first, 5, short=False), known)
+    assert {(n, i) for i, (n, _, _) in enumerate(spans)} <= found
