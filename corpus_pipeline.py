@@ -4,6 +4,10 @@ Documents go in the stages ``language_id`` (no letter, or no language found with
 a probability of a half), ``line_dedup`` (nothing but blank lines left),
 ``near_duplicates`` (one document of each group stays, the smallest id) and
 ``decontaminate`` (a benchmark item inside).  The last stage encodes what is left.
+
+Rows with one doc_id count as one document in ``near_duplicates``: all stay, or
+all go if no row of theirs is the first of its group.  Rows with a null doc_id
+link to nothing there and stay.  ``decontaminate`` judges those by their text.
 """
 
 from __future__ import annotations
@@ -35,12 +39,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with passing(spark):
         first = survive(keep(jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "first"))
-    return docs.join(first, "doc_id", "left_semi")
+    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    items, key = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), F.xxhash64("text")
+    found = contaminated(docs.where("doc_id is not null"), items).select("doc_id").distinct()
+    nameless = docs.where("doc_id is null")
+    unfit = contaminated(nameless.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_key")).distinct()
+    return docs.where("doc_id is not null").join(found, "doc_id", "left_anti").unionByName(nameless.join(unfit, key == F.col("_key"), "left_anti"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

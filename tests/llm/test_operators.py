@@ -371,3 +371,16 @@ def test_decontamination_finds_small_items():
     h, first = decontam.word_hashes(*decontam.raw(pa.array(texts)), True)
     found = decontam.candidates(*decontam.shingles(h, first, 5, short=False), known)
     assert {(n, i) for i, (n, _, _) in enumerate(spans)} <= found
+
+
+def test_pipeline_keeps_rows_without_an_id(spark, tmp_path):
+    """Near copies: null ids link to nothing and stay, rows of one id stay or go together; benchmark items count in rows without an id too."""
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    other, held = prose(80, 41), prose(40, 42) + " " + PASSAGE
+    rows = [(1, BASE), (None, BASE), (None, BASE), (2, BASE + " end"), (3, other), (3, other), (4, other), (5, BASE), (5, prose(80, 43)), (6, BASE), (6, BASE), (None, held), (None, None), (7, held)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA)
+    left = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    stay = [(i, t) for i, t in rows if i in (None, 1, 3, 5, 7)]
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(stay)
+    clean = corpus_pipeline.decontaminate(spark, left, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((i, t) for i, t in stay if t != held)
