@@ -1,14 +1,17 @@
 """Shared scratch space and small Arrow helpers of the llm operators.
 
 Every intermediate table that cuts lineage is written as Parquet below the
-folder in ``spark.checkpoint.dir``, which driver and executors share.  Only
-where that setting is absent (tests on one machine) is a folder made here.
+folder in ``spark.checkpoint.dir``, which driver and executors share.  Where it is
+unset, a folder is made here if Spark runs in one process (tests); on a cluster that
+is an error.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+RELEASE_S = 0.5
 _LOCAL: list[str] = []
 _OPEN: list[list[str]] = []
 
@@ -24,6 +28,8 @@ _OPEN: list[list[str]] = []
 def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         if not _LOCAL:
             _LOCAL.append("file://" + tempfile.mkdtemp(prefix="pulsegrid-"))
         base = _LOCAL[0]
@@ -81,6 +87,7 @@ def release(spark: SparkSession) -> None:
     """
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(RELEASE_S)  # the cleaner works beside the driver's next steps
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -101,6 +108,14 @@ def blobs(lengths, flat: bytes) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offs), pa.py_buffer(flat)]).cast(pa.binary())
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened as long as df has columns of these names (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while taken & {n.lower() for n in names}:
+        names = tuple(f"{n}_" for n in names)
+    return list(names)
+
+
 def plus(df: DataFrame, **columns: str) -> T.StructType:
     """df's schema with more columns at the end."""
     schema = T.StructType(list(df.schema.fields))
