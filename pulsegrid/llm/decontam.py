@@ -16,10 +16,14 @@ of it or more stand inside, so a miss has a probability below (1 - 0.19) ** 96,
 about 2e-9.  Shingles of one item scattered over several windows have less in each,
 and a greater probability of a miss.
 
-Words are lower-cased (A-Z), shingles have five words.  Documents or items that
-are null, empty or shorter than five words have no shingles and are never
-paired.  Repeated items count once for each item_id.  Items are broadcast in
-blocks of at most ``ITEM_BLOCK`` rows, and documents are read once for each block.
+Words are lower-cased (A-Z), shingles have five words; a document or item of fewer
+words has its whole sequence as one shingle, so a short item is found in documents
+that have no other words.  Documents or items that are null or without words are
+never paired, nor are items with a null item_id.  A null doc_id is returned as such;
+repeated rows are judged one by one.  Repeated items count once for each item_id.
+Other columns are not read (``without_items`` passes them through).  Empty tables
+give no pairs.  Items are broadcast in blocks of at most ``ITEM_BLOCK`` rows or about
+``ITEM_BYTES``, and documents are read once for each block.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ HASHES = 96
 SMALLEST = 16
 FEW = 8
 ITEM_BLOCK = 20_000
+ITEM_BYTES = 32 << 20
 _RNG = np.random.default_rng(8)
 XOR = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 ODD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +54,7 @@ class Items:
 
     def __init__(self, ids: list, texts: pa.Array):
         self.ids, self.sets = [], []
-        for lo, hi, flat, ptr in shingle_sets(texts, 5, short=False):
+        for lo, hi, flat, ptr in shingle_sets(texts):
             for i in range(hi - lo):
                 own = flat[ptr[i] : ptr[i + 1]]
                 if len(own) and ids[lo + i] is not None:
@@ -111,39 +117,65 @@ def candidates(h: np.ndarray, ptr: np.ndarray, items: Items) -> set[tuple[int, i
     return found
 
 
+def item_blocks(benchmark: DataFrame) -> Iterator[Broadcast]:
+    """Ids and texts of the items, in broadcasts of about ``ITEM_BLOCK`` rows and ``ITEM_BYTES`` at most."""
+    spark = benchmark.sparkSession
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    rows, size = benchmark.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-rows // ITEM_BLOCK), -(-(size or 0) // ITEM_BYTES))
+    for n in range(blocks):
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).toArrow()
+        yield spark.sparkContext.broadcast((part["item_id"].to_pylist(), part["text"].combine_chunks()))
+
+
+def held(texts: pa.Array, items: Items, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item_id, n_item, n_shared) of all items that rows hold; the greatest of an item_id's texts."""
+    buf, offs = raw(texts)
+    for lo, hi in chunks(offs):
+        h, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], True)
+        h, ptr = shingles(h, first)
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for row, i in sorted(candidates(h, ptr, items)):
+            own = items.sets[i]
+            both = int(np.isin(own, h[ptr[row] : ptr[row + 1]]).sum())
+            if both >= threshold * len(own) and (len(own), both) > best.get((row, items.ids[i]), (0, 0)):
+                best[row, items.ids[i]] = len(own), both
+        yield from ((lo + row, item, *found) for (row, item), found in best.items())
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared) of every document that holds an item."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())])
     out = None
-    for n in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).toArrow()
-        shared = spark.sparkContext.broadcast((part["item_id"].to_pylist(), part["text"].combine_chunks()))
+    for shared in item_blocks(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = Items(*shared.value)
             for b in batches:
-                buf, offs = raw(b.column(1))
-                ids = b.column(0)
-                for lo, hi in chunks(offs):
-                    h, first = word_hashes(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], True)
-                    h, ptr = shingles(h, first, 5, short=False)
-                    best: dict[tuple[int, int], tuple[int, int]] = {}
-                    for row, i in sorted(candidates(h, ptr, items)):
-                        own = items.sets[i]
-                        both = int(np.isin(own, h[ptr[row] : ptr[row + 1]]).sum())
-                        if both >= threshold * len(own) and (len(own), both) > best.get((row, items.ids[i]), (0, 0)):
-                            best[row, items.ids[i]] = len(own), both
-                    yield batch(schema, [ids[lo + r].as_py() for r, _ in best], [i for _, i in best], [n for n, _ in best.values()], [s for _, s in best.values()])
+                found = list(held(b.column(1), items, threshold))
+                yield batch(schema, b.column(0).take(pa.array([x[0] for x in found], pa.int64())), *([x[k] for x in found] for k in (1, 2, 3)))
 
         got = docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs that hold no item; one pass for each block of items, and no shuffle."""
+    for shared in item_blocks(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value)
+            for b in batches:
+                fit = np.ones(b.num_rows, bool)
+                fit[[row for row, *_ in held(b.column("text"), items, threshold)]] = False
+                yield b.filter(pa.array(fit))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -151,7 +183,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH t AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
 w AS (SELECT side, id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t WHERE text IS NOT NULL),
-s AS (SELECT DISTINCT side, id, array_to_string(w[n : n + 4], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, len(w) - 3)) AS n FROM w)),
+s AS (SELECT DISTINCT side, id, array_to_string(w[n : n + 4], ' ') AS g FROM (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS n FROM w)),
 i AS (SELECT id AS item_id, g, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE side = 'i')
 SELECT d.id AS doc_id, item_id, max(n_item) AS n_item, count(*) AS n_shared FROM s d JOIN i USING (g) WHERE d.side = 'd'
 GROUP BY d.id, item_id HAVING count(*) >= 0.8 * max(n_item)
