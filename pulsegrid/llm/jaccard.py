@@ -17,22 +17,22 @@ suffice.  Where they don't, one-deletion neighbourhoods are indexed (a part with
 two shingles or more then bears one difference), and single shingles where even
 that is too little; such classes look for one another.
 
-Classes that need their frequent signatures are compared in rounds.  First each
-with the smallest of its group, and links are joined to components.  Then, in
-groups that still hold several components, only across components and blockwise:
-a lower bound of the difference, from counts of hashed shingles, leaves a graph
-of possible links, of which a block proposes a spanning forest, nearest first,
-so fewer pairs than it has components.  Links found join components.  A block
-whose graph had more edges than it proposed comes again with ``FORESTS`` times as
-many edge-disjoint forests.  So links between components are found with few pairs, and
-none is lost: rounds end when every block has proposed all that was left.
+Classes that need their frequent signatures are compared in two steps.  First each
+with the smallest class of its group, the hub; links are joined to components.
+All groups with one hub make one set of classes, so the many signatures that near
+copies share lead to few comparisons.  Where such a set still holds several
+components, it is cut into chunks, and pairs of chunks count the shingles their
+classes share by a matrix product, exactly.  Two chunks of the hub's own component
+are never paired, and of the links found a spanning forest of components is kept.
 
 Every candidate is verified on the whole sets.  Shingles are 64-bit hashes of
 five words (A-Z lower-cased); a text with fewer words is one shingle, one without
 words has none and links to nothing.
 
-doc_id is expected to be unique; rows with a null doc_id link to nothing and
-have a null component.
+Rows count by their texts, so several rows may share a doc_id: each has the
+component of its own text.  Rows with a null doc_id link like others; their
+component is the smallest doc_id among its rows, and null if it has none.  Empty
+tables give no rows, and other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -43,18 +43,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import mix, ragged, shingle_sets
-from .store import batch, blobs, keep, passing, release, survive
+from .store import batch, blobs, fresh, keep, passing, release, survive
 
 HOT = 12
 CELLS = 128  # counts of shingles by hash cell; their L1 distance never exceeds the sets' difference
 BUCKET_ENTRIES = 1_000_000
-BLOCK = 4096
-FORESTS = 64
+CHUNK = 1024  # classes, and
+CHUNK_SHINGLES = 1 << 19  # shingles of a chunk that is compared with another
+FEW = 6  # an entry of more sets is a column of a matrix
+COLUMNS = 1024
 LEAST = 4  # smaller sets have no partner but an equal one
 
 
@@ -134,27 +136,25 @@ def signatures(flat: np.ndarray, ptr: np.ndarray, lower: int) -> tuple[np.ndarra
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("cells", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("spare0", pa.int64()), ("spare1", pa.int64()), ("cells", pa.binary())])
     for b in batches:
-        for lo, hi, flat, ptr, h1, h2 in classes_of(b.column(1)):
+        for lo, hi, flat, ptr, h1, h2 in classes_of(b.column(2)):
             n = np.diff(ptr)
             cell = np.repeat(np.arange(hi - lo), n) * CELLS + (mix(flat, 31) >> np.uint64(57)).astype(np.int64)
             cells = np.minimum(np.bincount(cell, minlength=(hi - lo) * CELLS), 65535).astype("<u2")
-            yield batch(schema, b.column(0)[lo:hi], n, h1, h2, *(layout(flat, ptr, lower)[-1] for lower in (0, 1)), blobs(np.full(hi - lo, 2 * CELLS), cells.tobytes()))
+            yield batch(schema, b.column(0)[lo:hi], b.column(1)[lo:hi], n, h1, h2, *(layout(flat, ptr, lower)[-1] for lower in (0, 1)), blobs(np.full(hi - lo, 2 * CELLS), cells.tobytes()))
 
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each set of a batch: its smallest document and all its signatures."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("sigs", pa.binary()), ("tags", pa.binary())])
+    """One row for each set of a batch: all its signatures."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("sigs", pa.binary()), ("tags", pa.binary())])
     for b in batches:
         seen: set[tuple[int, int]] = set()
-        order = pa.compute.sort_indices(b.column(0))
-        b = b.take(order)
-        for lo, hi, flat, ptr, h1, h2 in classes_of(b.column(1)):
+        for _, _, flat, ptr, h1, h2 in classes_of(b.column(0)):
             n = np.diff(ptr)
-            fresh = np.zeros(hi - lo, bool)
+            fresh = np.zeros(len(n), bool)
             for i, key in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
-                if n[i] >= LEAST and b.column(0)[lo + i].is_valid and key not in seen:
+                if n[i] >= LEAST and key not in seen:
                     seen.add(key)
                     fresh[i] = True
             rows = np.flatnonzero(fresh)
@@ -166,7 +166,7 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tag = np.concatenate([a0 * 2, a1 * 2 + 1]).astype(np.uint8)
             by = np.argsort(who, kind="stable")
             size = np.bincount(who, minlength=len(rows))
-            yield batch(schema, h1[rows], h2[rows], b.column(0)[lo:hi].take(pa.array(rows)), blobs(size * 8, sig[by].tobytes()), blobs(size, tag[by].tobytes()))
+            yield batch(schema, h1[rows], h2[rows], blobs(size * 8, sig[by].tobytes()), blobs(size, tag[by].tobytes()))
 
 
 def _spread(buckets: int):
@@ -224,10 +224,19 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, h1, h2, text) to (node, set), where the text has the class's set; of rows in succession with one node the first."""
     schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+    last = None
     for b in batches:
-        for lo, hi, flat, ptr in shingle_sets(b.column(1)):
-            yield batch(schema, b.column(0)[lo:hi], blobs(np.diff(ptr) * 8, flat.tobytes()))
+        node = b.column(0).to_numpy()
+        fresh = np.diff(node, prepend=node[:1] - 1) != 0
+        if len(node):
+            fresh[0] = node[0] != last
+            last = int(node[-1])
+        b = b.filter(pa.array(fresh))
+        for lo, hi, flat, ptr, h1, h2 in classes_of(b.column(3)):
+            part = batch(schema, b.column(0)[lo:hi], blobs(np.diff(ptr) * 8, flat.tobytes()))
+            yield part.filter(pa.array((h1 == b.column(1)[lo:hi].to_numpy()) & (h2 == b.column(2)[lo:hi].to_numpy())))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,52 +268,76 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(schema, got.column(0), got.column(1))
 
 
-def _across(forests: int):
-    """Of one block of a frequent signature's group: edge-disjoint spanning forests of its possible links across components; if any are left, a last row (null, sig)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("n")
-        node, n, chunk = (table[c].to_numpy() for c in ("node", "n", "chunk"))
-        inside = table["i"][0].as_py() == table["j"][0].as_py()
-        comp = np.unique(table["comp"].to_numpy(), return_inverse=True)[1]
-        cells = np.frombuffer(b"".join(table["cells"].to_pylist()), "<u2").reshape(-1, CELLS).astype(np.int32)
-        coarse = cells.reshape(len(cells), 16, -1).sum(2)  # a cheaper, weaker bound first
-        if coarse.max() < 2**15:
-            cells, coarse = cells.astype(np.int16), coarse.astype(np.int16)
-        reach = np.searchsorted(n, n * 5 // 4, "right")
-        labels: list[np.ndarray] = []  # of each forest begun
-        a, b, more = [], [], False
-        for x in range(len(node)):
-            later = slice(x + 1, reach[x])
-            ok = comp[later] != comp[x]
-            if not inside:
-                ok &= chunk[later] != chunk[x]
-            ok &= 9 * np.abs(coarse[later] - coarse[x]).sum(1, dtype=np.int32) <= n[later] + n[x]
-            y = np.flatnonzero(ok) + x + 1
-            if more and labels:  # nothing to learn from pairs that no forest has room for
-                y = y[np.any([own[y] != own[x] for own in labels], axis=0)]
-            far = np.abs(cells[y] - cells[x]).sum(1, dtype=np.int32)
-            ok = 9 * far <= n[y] + n[x]
-            y = y[ok][np.argsort(far[ok], kind="stable")]
-            for k in range(forests):
-                if not len(y):
-                    break
-                if k == len(labels):
-                    labels.append(comp.copy())
-                own = labels[k]
-                other, at = np.unique(own[y], return_index=True)
-                new = at[other != own[x]]
-                if len(new):
-                    a.append(np.minimum(node[x], node[y[new]]))
-                    b.append(np.maximum(node[x], node[y[new]]))
-                    own[np.isin(own, own[y[new]])] = own[x]
-                    y = np.delete(y, new)
-            more |= len(y) > 0
-        a, b = (np.concatenate(z) if z else node[:0] for z in (a, b))
-        left = pa.array([None] * more, pa.int64()), pa.array(table["sig"].to_pylist()[:1] * more, pa.int64())
-        return pa.table({"a": pa.concat_arrays([pa.array(a, pa.int64()), left[0]]), "b": pa.concat_arrays([pa.array(b, pa.int64()), left[1]])})
-
-    return run
+def shared_counts(flat: np.ndarray, owner: np.ndarray, rows: int, split: int) -> np.ndarray:
+    """Common entries of each of the first ``split`` sets with each of the rest, or of all with all if split is 0.
+
+    flat holds the sets' entries, owner their rows.  Entries of few sets add to
+    pairs one by one, frequent ones are columns of a 0/1 matrix that is multiplied.
+    """
+    _, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    by = np.argsort(inverse, kind="stable")
+    who = owner[by]
+    starts = np.cumsum(count) - count
+    n, m = (split, rows - split) if split else (rows, rows)
+    out = np.zeros((n, m), np.float32)
+    for g in np.unique(count[count <= FEW]).tolist():
+        s = starts[count == g]
+        at = who[s[:, None] + np.arange(g)]
+        for i in range(g):
+            for j in range(g):
+                x, y = at[:, i], at[:, j]
+                if split:
+                    ok = (x < split) & (y >= split)
+                    x, y = x[ok], y[ok] - split
+                np.add.at(out, (x, y), np.float32(1))
+    often = np.flatnonzero(count > FEW)
+    for a in range(0, len(often), COLUMNS):
+        own = often[a : a + COLUMNS]
+        ones = np.zeros((rows, len(own)), np.float32)
+        ones[who[ragged(starts[own], count[own])], np.repeat(np.arange(len(own)), count[own])] = 1
+        out += ones[:split] @ ones[split:].T if split else ones @ ones.T
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Indices of edges (a, b) that join components anew, taken in order; top: every node's own number at first."""
+    taken = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            taken.append(k)
+    return np.array(taken, np.int64)
+
+
+def _block(table: pa.Table) -> pa.Table:
+    """Of one pair of chunks: links across components, as many as join what they join."""
+    table = table.sort_by([("chunk", "ascending"), ("node", "ascending")])
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    node, comp, chunk = (table[c].to_numpy() for c in ("node", "comp", "chunk"))
+    comp = np.unique(comp, return_inverse=True)[1]
+    sets = table["set"].to_pylist()
+    n = np.array([len(x) // 8 for x in sets], np.int64)
+    split = 0 if i == j else int((chunk == i).sum())
+    empty = pa.array([], pa.int64())
+    if i != j and split in (0, len(node)):
+        return pa.table({"a": empty, "b": empty})
+    both = shared_counts(np.frombuffer(b"".join(sets), np.uint64), np.repeat(np.arange(len(n)), n), len(n), split)
+    left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    both = both.astype(np.int64)
+    both *= 9
+    link = both >= 4 * n[left, None] + 4 * n[None, right]  # 100 i >= 80 (n + m - i)
+    link &= comp[left, None] != comp[None, right]
+    x, y = np.nonzero(link)
+    y = y + split
+    first = np.unique(np.minimum(comp[x], comp[y]) * len(node) + np.maximum(comp[x], comp[y]), return_index=True)[1]
+    x, y = x[first], y[first]
+    few = forest(comp[x], comp[y], np.arange(len(node)))
+    a, b = node[x[few]], node[y[few]]
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -318,34 +351,70 @@ def prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_prune, "a long, b long")
 
 
+def row_key() -> Column:
+    """With doc_id (0 if null), what tells rows of different texts apart."""
+    return F.xxhash64(F.col("doc_id").isNull(), "text")
+
+
 def set_table(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Shingle sets of the documents whose ids are in nodes."""
-    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").mapInArrow(_sets, "node long, set binary")
+    """Shingle sets (node, set) of the classes in nodes (node, least, key, h1, h2), read from their first documents; docs: (id, key, text).
 
+    The join leaves rows sorted by id and key, so repeated documents follow one another; a set that
+    comes twice all the same (of a partition that was split) does no harm.
+    """
+    first = nodes.select("node", "h1", "h2", F.coalesce("least", F.lit(0)).alias("id"), "key")
+    return first.hint("merge").join(docs, ["id", "key"]).select("node", "h1", "h2", "text").mapInArrow(_sets, "node long, set binary")
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+
+def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of all rows (doc_id, n, h1, h2), of classes (node, h1, h2, least: its smallest doc_id, key), and of the classes that have links (node, comp)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = keep(docs.mapInArrow(_members, "doc_id long, n long, h1 long, h2 long, spare0 long, spare1 long, cells binary"), "members")
-    some = members.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "spare0", "spare1", "cells")).alias("c"))
-    classes = keep(some.select("h1", "h2", F.col("c.doc_id").alias("node"), "c.n", "c.spare0", "c.spare1", "c.cells"), "classes")
+    members = keep(docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(_members, "doc_id long, key long, n long, h1 long, h2 long, spare0 long, spare1 long, cells binary"), "members")
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least"), "key", "n", "spare0", "spare1", "cells")
+    some = members.where("n > 0").groupBy("h1", "h2").agg(F.min(first).alias("c"))
+    classes = keep(some.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", *(f"c.{x}" for x in ("least", "key", "n", "spare0", "spare1", "cells"))), "classes")
     size = members.agg(F.sum("n")).first()[0] or 0
+    release(spark)
     with passing(spark):
-        met = keep(_candidates(docs, max(16, size // BUCKET_ENTRIES)), "met")
+        met = keep(_candidates(docs.select("text"), classes.select("h1", "h2", "node"), max(16, size // BUCKET_ENTRIES)), "met")
         release(spark)
-        needed = survive(keep(_needed(met.where("tag >= 0").select(F.col("a").alias("sig"), F.col("b").alias("node"), "tag"), classes), "needed"))
+        needed = keep(_needed(met.where("tag >= 0").select(F.col("a").alias("sig"), F.col("b").alias("node"), "tag"), classes), "needed")
         hubs = needed.groupBy("sig").agg(F.min("node").alias("hub"))
-        stars = needed.join(hubs, "sig").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        stars = survive(keep(needed.join(hubs, "sig").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars"))
         pairs = survive(keep(prune(met.where("tag = -1").select("a", "b").unionByName(stars).distinct(), classes), "pairs"))
+    release(spark)
     with passing(spark):
-        sets = keep(set_table(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(needed.select("node")).distinct()), "sets")
+        asked = pairs.unionByName(stars).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "least", "key", "h1", "h2"), "node")
+        sets = keep(set_table(docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), row_key().alias("key"), "text"), asked), "sets")
+        release(spark)
+        links = keep(verify(pairs, sets), "links")
         release(spark)
-        comps = survive(_joined(needed, classes, sets, components(keep(verify(pairs, sets), "links"))))
+        comps = survive(_joined(stars, classes, sets, components(links)))
+    release(spark)
+    return members.select("doc_id", "n", "h1", "h2"), classes.select("node", "h1", "h2", "least", "key"), comps
 
-    out = members.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node").join(comps, "node", "left"), ["h1", "h2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    members, classes, comps = linked_classes(docs)
+    named = comps.join(classes.select("node", "least"), "node")
+    named = named.join(named.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
+    known = classes.join(named, "node", "left").select("h1", "h2", F.when(F.col("component_id").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = members.join(known, ["h1", "h2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """docs without rows that have shingles and an earlier row in their component: by doc_id (null last), then by a hash of the text; of equal rows one stays."""
+    _, classes, comps = linked_classes(docs)
+    first = F.struct(F.col("least").isNull(), F.coalesce("least", F.lit(0)).alias("_id"), F.col("key").alias("_key"))
+    own = classes.join(comps, "node", "left").groupBy(F.coalesce("comp", "node")).agg(F.min(first).alias("f")).select("f._id", "f._key")
+    keys = fresh(docs, "_id", "_key")
+    rows = docs.withColumns(dict(zip(keys, (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row_key()))))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = rows.where(words).join(own.toDF(*keys).hint("merge"), keys, "left_semi").dropDuplicates(keys)
+    return left.select(*docs.columns).unionByName(rows.where(~words).select(*docs.columns))
 
 
 def _needed(hot: DataFrame, classes: DataFrame) -> DataFrame:
@@ -355,36 +424,38 @@ def _needed(hot: DataFrame, classes: DataFrame) -> DataFrame:
     return hot.where("tag >= 2").unionByName(hot.join(short, ["node", "tag"])).select("sig", "node").distinct()
 
 
-def _joined(needed: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
-    """comps after the links across components in groups of frequent signatures; a table of keep()."""
-    comps, open_, forests = keep(comps, "comps"), needed, 1
-    while True:
-        labelled = open_.join(comps, "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = labelled.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least < most")
-        split = labelled.join(mixed.select("sig", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), "sig").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        split = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-        split = split.join(classes.select("node", "n", "cells"), "node").select("sig", "i", "j", "chunk", "node", "comp", "n", "cells")
-        cross = keep(split.groupBy("sig", "i", "j").applyInArrow(_across(forests), "a long, b long"), "cross")
-        links = verify(cross.where("a is not null").distinct(), sets)
-        for end in "ab":
-            own = comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
-            links = links.join(own, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
-        links = keep(links.distinct(), "links")
-        if not links.isEmpty():  # of components: the smallest node of several is the smallest component
-            merged = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").withColumn("comp", F.col("node")))
-            comps = keep(every.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
-        left = cross.where("a is null").select(F.col("b").alias("sig")).distinct()
-        if left.isEmpty():
-            return comps
-        open_, forests = needed.join(left, "sig", "left_semi"), forests * FORESTS
-        release(needed.sparkSession)
-
-
-def _candidates(docs: DataFrame, buckets: int) -> DataFrame:
-    coded = docs.mapInArrow(_coded, "h1 long, h2 long, doc_id long, sigs binary, tags binary")
-    one = coded.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sigs", "tags")).alias("c")).select("c.doc_id", "c.sigs", "c.tags")
-    spread = one.mapInArrow(_spread(buckets), "bucket long, sig binary, step binary, tag binary")
+def _joined(stars: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
+    """comps after the links across components among the classes of each hub; a table of keep()."""
+    comps = keep(comps, "comps")
+    spot = stars.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("node"))).distinct()
+    spot = spot.join(comps, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp")).join(classes.select("node", "n"), "node")
+    home = spot.where("hub = node").select("hub", F.col("comp").alias("home"))
+    spot = spot.join(home, "hub").withColumn("away", F.col("comp") != F.col("home"))
+    # chunks of the hub's own component come first, then the others; two chunks of the former need no comparison
+    need = lambda away: F.greatest(F.ceil(F.sum(F.when(away, F.col("n"))) / CHUNK_SHINGLES), F.ceil(F.count(F.when(away, 1)) / CHUNK)).cast("long")
+    wide = spot.groupBy("hub").agg(need(~F.col("away")).alias("g"), need(F.col("away")).alias("r")).where("r > 0")
+    spot = spot.join(wide, "hub").withColumn("chunk", F.when(F.col("away"), F.col("g") + F.pmod(F.xxhash64("node"), F.col("r"))).otherwise(F.pmod(F.xxhash64("node"), F.col("g"))))
+    others = F.sequence(F.when(F.col("away"), F.lit(0).cast("long")).otherwise(F.col("g")), F.col("g") + F.col("r") - 1)
+    spot = spot.withColumn("other", F.explode(others)).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
+    block = spot.select("hub", "i", "j", "chunk", "node", "comp").join(sets, "node")
+    links = keep(block.groupBy("hub", "i", "j").applyInArrow(_block, "a long, b long"), "cross")
+    for end in "ab":
+        own = comps.select(F.col("node").alias(end), F.col("comp").alias(f"c{end}"))
+        links = links.join(own, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    links = keep(links.distinct(), "links")
+    if links.isEmpty():
+        return comps
+    # of components: the smallest node of several is the smallest component
+    merged = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    every = comps.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti").withColumn("comp", F.col("node")))
+    return keep(every.join(merged, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+    coded = docs.mapInArrow(_coded, "h1 long, h2 long, sigs binary, tags binary")
+    one = coded.groupBy("h1", "h2").agg(F.min(F.struct("sigs", "tags")).alias("c"))
+    named = one.join(classes.hint("merge"), ["h1", "h2"]).select("node", "c.sigs", "c.tags")
+    spread = named.mapInArrow(_spread(buckets), "bucket long, sig binary, step binary, tag binary")
     return spread.groupBy("bucket").applyInArrow(_meet, "tag int, a long, b long")
 
 
