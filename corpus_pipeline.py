@@ -5,9 +5,11 @@ a probability of a half), ``line_dedup`` (nothing but blank lines left),
 ``near_duplicates`` (one document of each group stays, the smallest id) and
 ``decontaminate`` (a benchmark item inside).  The last stage encodes what is left.
 
-Rows with one doc_id count as one document in ``near_duplicates``: all stay, or
-all go if no row of theirs is the first of its group.  Rows with a null doc_id
-link to nothing there and stay.  ``decontaminate`` judges those by their text.
+Every row counts by doc_id and text: rows that share an id but not the text are
+documents of their own, rows that share both are one document.  A null doc_id
+sorts first in ``line_dedup`` and last in ``near_duplicates``.  Null and empty
+texts go in the first stage.  Empty tables give no rows.  Other columns of
+documents pass through, whatever their names; n_chars is set anew where it exists.
 """
 
 from __future__ import annotations
@@ -16,19 +18,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.bpe import token_digests
-from pulsegrid.llm.decontam import contaminated
-from pulsegrid.llm.jaccard import jaccard_components
+from pulsegrid.llm.decontam import without_items
+from pulsegrid.llm.jaccard import first_of_groups
 from pulsegrid.llm.langid import held_out, predict, train
 from pulsegrid.llm.linededup import dedup_lines
-from pulsegrid.llm.store import keep, passing, survive
+from pulsegrid.llm.store import fresh, keep
 
 LEAST_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    found = predict(docs, model, pred="_pred", score="_score")
-    return found.where((F.col("_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    pred, score = fresh(docs, "_pred", "_score")
+    found = predict(docs, model, pred=pred, score=score)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,17 +40,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    with passing(spark):
-        first = survive(keep(jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct(), "first"))
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return first_of_groups(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items, key = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), F.xxhash64("text")
-    found = contaminated(docs.where("doc_id is not null"), items).select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    unfit = contaminated(nameless.select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_key")).distinct()
-    return docs.where("doc_id is not null").join(found, "doc_id", "left_anti").unionByName(nameless.join(unfit, key == F.col("_key"), "left_anti"))
+    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
