@@ -12,8 +12,11 @@ from .functions import numeric as N
 from .operators import reshape as R
 from .plans import views as V
 from .plans.compute import compute_metrics, metric
-from .sources.trace import event_device
-from .sinks.csv import ordered
+from .scratch import scratch
+from .sources.trace import event_device, in_range, read_trace, uncore_devices
+from .sinks.csv import ordered, write_csv
+from .sources import sysinfo
+from .schema import SAMPLING_TIME
 
 REF = 2000.0
 NAMES = ["click", "error", "purchase", "signup", "view"]
@@ -43,7 +46,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate() -> F.Column:
     """As in the long event table, with signup standing for a pseudo event."""
-    return F.when(F.col("name") == "signup", F.col("value")).otherwise(N.normalized(F.col("value"), F.col("tsc"), REF))
+    return N.normalized(F.col("value"), F.col("tsc"), REF, F.when(F.col("name") == "signup", SAMPLING_TIME).otherwise(F.col("name")))
 
 
 def tidy(df: DataFrame) -> DataFrame:
@@ -121,9 +124,9 @@ def _formula(name: str, text: str, sql: str) -> None:
     """A formula over lineitem: q quantity, p price, d discount, t tax."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols = {"q": "l_quantity", "p": "l_extendedprice", "d": "l_discount", "t": "l_tax"}
-        return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(fm.compile_formula(text, lambda x: F.col(cols[x])), 4).alias("v"))
+        return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fm.compile_formula(text, lambda x: F.col(cols[x])).cast("double").alias("v"))
 
-    query(f"formula_{name}", f"SELECT l_orderkey, l_linenumber, round(CAST({sql} AS DOUBLE), 4) AS v FROM (SELECT *, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t FROM lineitem)")(run)
+    query(f"formula_{name}", f"SELECT l_orderkey, l_linenumber, CAST({sql} AS DOUBLE) AS v FROM (SELECT *, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_tax AS t FROM lineitem)")(run)
 
 
 for _name, _text, _sql in [
@@ -200,7 +203,8 @@ query("entity_key", f"WITH {RAW} SELECT DISTINCT concat_ws('_', socket, CASE WHE
     lambda s, d: raw(s, d).select(R.entity(F.col("socket"), F.when(F.col("unit") > 3, F.col("module")), F.col("core")).alias("entity")).distinct())
 query("sort_csv_order", f"WITH {RAW} SELECT grp, timestamp, unit, round(sum(value), 4) AS value FROM raw GROUP BY ALL ORDER BY grp, timestamp, unit")(
     lambda s, d: tidy(ordered(raw(s, d).groupBy("group", "timestamp", "unit").agg(F.sum("value").alias("value")))))
-query("distinct_devices", f"WITH {RAW} SELECT DISTINCT device FROM raw WHERE device LIKE 'UNC!_%' ESCAPE '!'")(lambda s, d: raw(s, d).where(F.col("device").startswith("UNC_")).select("device").distinct())
+query("distinct_devices", f"WITH {RAW} SELECT DISTINCT device FROM raw WHERE device LIKE 'UNC!_%' ESCAPE '!'")(
+    lambda s, d: s.createDataFrame([(x,) for x in uncore_devices(raw(s, d))], "device string"))
 
 RULE_NAMES = ["UNC_CHA_CLOCKTICKS", "unc_misc", "X_FREERUN_MEM_READ", "FREERUN:a:scope=PACKAGE", "INST_RETIRED.ANY", "UNC_M_CAS"]
 
@@ -213,23 +217,63 @@ def event_device_rule(spark, sf_dir):
 
 
 query("sample_range", f"WITH {RAW} SELECT * FROM raw WHERE timestamp BETWEEN timestamp '2024-01-03 05:00:00' AND timestamp '2024-01-04 07:00:00'")(
-    lambda s, d: raw(s, d).where(F.date_trunc("second", "timestamp").cast("timestamp_ntz").between(F.lit("2024-01-03 05:00:00").cast("timestamp_ntz"), F.lit("2024-01-04 07:00:00").cast("timestamp_ntz"))).withColumnRenamed("group", "grp"))
-
-
-@query("topdown_rescale", f"""WITH {RAW}, t AS (SELECT grp, unit, sum(value) FILTER (name IN ('click', 'view')) AS part, sum(value) FILTER (name = 'purchase') AS slots FROM raw GROUP BY grp, unit)
-SELECT raw.grp, raw.unit, name, round(sum(value / part * slots), 4) AS value FROM raw JOIN t ON raw.grp = t.grp AND raw.unit = t.unit WHERE name IN ('click', 'view') GROUP BY ALL""")
-def topdown_rescale(spark, sf_dir):
-    e = raw(spark, sf_dir)
-    top = e.groupBy("group", "unit").agg(F.sum(F.when(F.col("name").isin("click", "view"), F.col("value"))).alias("part"), F.sum(F.when(F.col("name") == "purchase", F.col("value"))).alias("slots"))
-    scaled_ = e.where(F.col("name").isin("click", "view")).join(top, ["group", "unit"]).withColumn("value", N.ieee_div(F.col("value"), F.col("part")) * F.col("slots"))
-    return tidy(scaled_.groupBy("group", "unit", "name").agg(F.sum("value").alias("value")))
-
-
-@query("processor_lookup", "SELECT l_orderkey, l_linenumber, p_brand, s_nationkey FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey")
-def processor_lookup(spark, sf_dir):
-    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    part, supplier = load(spark, sf_dir, "part").select("p_partkey", "p_brand"), load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return line.join(part, line.l_partkey == part.p_partkey).join(supplier, line.l_suppkey == supplier.s_suppkey).select("l_orderkey", "l_linenumber", "p_brand", "s_nationkey")
+    lambda s, d: in_range(raw(s, d), times_between=("2024-01-03 05:00:00", "2024-01-04 07:00:00")).withColumnRenamed("group", "grp"))
+
+
+#: The events as a text trace: days are blocks, hours are samples, users are dealt to four processors in two sockets.
+TRACE_HEAD = ["TSC Freq ............. 2000.00 MHz", "OS Processor\tPhys. Package\tCore\tLogical Processor", *(f"{i}\t{i // 2}\t{i // 2}\t{i % 2}" for i in range(4)), sysinfo.RULE, "Version Info: events"]
+TRACE_NAMES = {"click": "INST_RETIRED.ANY", "purchase": "TOPDOWN.SLOTS:perf_metrics", "view": "PERF_METRICS.RETIRING", "signup": "PERF_METRICS.BAD_SPECULATION", "error": "UNC_CHA_HITS"}
+
+
+def write_trace(spark: SparkSession, sf_dir: str) -> str:
+    """Write the trace to the shared folder and return its path; every sample has a line that a later one of its name replaces."""
+    path = scratch(spark, "trace")
+    name = F.create_map(*(F.lit(x) for pair in TRACE_NAMES.items() for x in pair))
+    e = load(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").alias("hour"), name[F.col("event_type")].alias("name"), (F.col("user_id") % 4).cast("int").alias("cpu"), F.floor("value").alias("n"))
+    cells = F.concat_ws("\t", *(F.coalesce(F.sum(F.when(F.col("cpu") == i, F.col("n"))), F.lit(0)) + 1 for i in range(4)))
+    tsc = F.format_number(F.lit(2_000_000_000) + F.hour("hour") * 1000, 0)
+    text = e.groupBy("hour", "name").agg(cells.alias("cells")).select("hour", F.concat_ws("\t", "name", tsc, "cells").alias("line"), F.concat_ws("\t", "name", tsc, F.lit("7")).alias("replaced"))
+    text = text.groupBy("hour").agg(F.concat_ws("\n", F.date_format("hour", "MM/dd/yyyy HH:mm:ss.SSS"), F.max("replaced"), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("-" * 10)).alias("sample"))
+    days = text.groupBy(F.to_date("hour").alias("day")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hour", "sample"))), lambda x: x["sample"]), "\n").alias("block"))
+    days.orderBy("day").select(F.concat("block", F.lit("\n" + "=" * 10))).coalesce(1).write.text(path)
+    return path
+
+
+def trace(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    return read_trace(spark, write_trace(spark, sf_dir), sysinfo.parse(TRACE_HEAD), **how)[0].withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+TRACE = """e AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS timestamp, event_type AS t, user_id % 4 AS cpu, floor(value) AS n FROM events),
+l AS (SELECT timestamp, t, cpu, coalesce((SELECT sum(n) FROM e WHERE e.timestamp = k.timestamp AND e.t = k.t AND e.cpu = c.cpu), 0) + 1 AS v FROM (SELECT DISTINCT timestamp, t FROM e) k, (SELECT unnest([0, 1, 2, 3]) AS cpu) c),
+m AS (SELECT l.*, sum(v) FILTER (t IN ('view', 'signup')) OVER w AS part, max(v) FILTER (t = 'purchase') OVER w AS slots FROM l WINDOW w AS (PARTITION BY timestamp, cpu)),
+b AS (SELECT timestamp, 2e9 + 1000 * hour(timestamp) AS tsc, CAST(dense_rank() OVER (ORDER BY date_trunc('day', timestamp)) AS INTEGER) AS grp, CAST(row_number() OVER (ORDER BY timestamp) AS INTEGER) AS no FROM (SELECT DISTINCT timestamp FROM e)),
+trace AS (SELECT timestamp, CAST(cpu // 2 AS INTEGER) AS socket, 'core' AS device, CAST(cpu // 2 AS INTEGER) AS core, CAST(cpu % 2 AS INTEGER) AS thread, CAST(cpu AS INTEGER) AS unit, 0 AS module,
+  CASE t """ + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TRACE_NAMES.items()) + """ END AS name, CAST(CASE WHEN t IN ('view', 'signup') THEN v / CAST(part AS DOUBLE) * slots ELSE v END AS DOUBLE) AS value FROM m WHERE t <> 'error' AND (slots IS NOT NULL OR t NOT IN ('view', 'signup'))
+UNION ALL SELECT timestamp, CAST(cpu // 2 AS INTEGER), 'UNC_CHA', NULL, NULL, CAST(cpu % 2 AS INTEGER), NULL, 'UNC_CHA_HITS', CAST(v AS DOUBLE) FROM m WHERE t = 'error'
+UNION ALL SELECT timestamp, CAST(cpu // 2 AS INTEGER), 'core', CAST(cpu // 2 AS INTEGER), CAST(cpu % 2 AS INTEGER), CAST(cpu AS INTEGER), 0, 'TSC', tsc FROM b, (SELECT unnest([0, 1, 2, 3]) AS cpu)
+UNION ALL SELECT timestamp, 0, 'SYSTEM', NULL, NULL, 0, NULL, '$samplingTime', tsc / 2e9 FROM b
+UNION ALL SELECT timestamp, 0, 'SYSTEM', NULL, NULL, 0, NULL, '$processed_samples', 1.0 FROM b),
+rows AS (SELECT trace.*, b.tsc, b.grp, b.no FROM trace JOIN b USING (timestamp))"""
+query("trace_rows", f"WITH {TRACE} SELECT * EXCLUDE (no) FROM rows")(lambda s, d: trace(s, d).withColumnRenamed("group", "grp"))
+query("trace_samples_between", f"WITH {TRACE} SELECT * EXCLUDE (no) FROM rows WHERE no BETWEEN 20 AND 60")(lambda s, d: trace(s, d, samples_between=(20, 60)).withColumnRenamed("group", "grp"))
+query("trace_times_between", f"WITH {TRACE} SELECT * EXCLUDE (no) FROM rows WHERE timestamp BETWEEN timestamp '2024-01-03 05:00:00' AND timestamp '2024-01-04 07:00:00'")(
+    lambda s, d: trace(s, d, times_between=("2024-01-03 05:00:00", "2024-01-04 07:00:00")).withColumnRenamed("group", "grp"))
+query("topdown_rescale", f"WITH {TRACE} SELECT grp, timestamp, unit, name, value FROM rows WHERE starts_with(name, 'PERF_METRICS')")(
+    lambda s, d: trace(s, d).where(F.col("name").startswith("PERF_METRICS")).select(F.col("group").alias("grp"), "timestamp", "unit", "name", "value"))
+query("processor_lookup", f"WITH {TRACE} SELECT DISTINCT unit, socket, core, thread, module FROM rows WHERE device = 'core'")(
+    lambda s, d: trace(s, d).where("device = 'core'").select("unit", "socket", "core", "thread", "module").distinct())
+TRACE_VIEW = V.with_metrics(V.make_view("socket"), metric("useful", "100 * a / b", a="PERF_METRICS.RETIRING", b="TOPDOWN.SLOTS:perf_metrics"))
+
+
+@query("trace_details_csv", f"""WITH {TRACE}, d AS (SELECT grp, timestamp, socket, name, sum(value / tsc * 2e9) AS v FROM rows WHERE device <> 'SYSTEM' GROUP BY ALL)
+SELECT grp, timestamp, socket, round(100 * max(v) FILTER (name = 'PERF_METRICS.RETIRING') / max(v) FILTER (name = 'TOPDOWN.SLOTS:perf_metrics'), 4) AS useful, round(max(v) FILTER (name = 'UNC_CHA_HITS'), 4) AS hits FROM d GROUP BY ALL""")
+def trace_details_csv(spark, sf_dir):
+    """Through the sink and back: a folder of CSV files, so that nothing passes the driver."""
+    path = scratch(spark, "details")
+    write_csv(V.details(trace(spark, sf_dir), TRACE_VIEW, 2e9), path, single_file=False)
+    back = spark.read.option("header", True).csv(path)
+    number = lambda c: F.round(N.col(c).cast("double"), 4)
+    return back.select(F.col("group").cast("int").alias("grp"), F.to_timestamp_ntz("timestamp").alias("timestamp"), F.col("socket").cast("int").alias("socket"), number("useful").alias("useful"), number("UNC_CHA_HITS").alias("hits"))
 
 
 @query("pivot_aggregates", """SELECT l_linestatus, round(sum(l_quantity) FILTER (l_returnflag = 'A'), 4) AS "sum A", round(sum(l_quantity) FILTER (l_returnflag = 'N'), 4) AS "sum N", round(sum(l_quantity) FILTER (l_returnflag = 'R'), 4) AS "sum R",

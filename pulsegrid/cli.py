@@ -22,10 +22,11 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     one.add_argument("trace")
     one.add_argument("-x", "--xml", required=True)
     for short, name in (("s", "socket"), ("c", "core"), ("t", "thread"), ("u", "uncore")):
-        one.add_argument(f"-{short}", f"--{name}", action="store_true")
+        one.add_argument(f"-{short}", f"--{name}", f"--{name}-view", dest=name, action="store_true")
     one.add_argument("-n", "--no-details", action="store_true")
-    one.add_argument("-m", "--memory-saver", action="store_true", help="write details as folders, unsorted")
+    one.add_argument("-m", "--memory-saver", "--mem", dest="memory_saver", action="store_true", help="write details as folders, unsorted")
     one.add_argument("--chunk-size", type=int, help="bytes of a file split")
+    one.add_argument("--time-zone", default="UTC", help="of the trace's dates")
     one.add_argument("--out", default=".")
     return p.parse_args(argv)
 
@@ -63,7 +64,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
 
 def main(argv: list[str] | None = None) -> None:
     a, began = arguments(argv), time.time()
-    spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.config("spark.sql.session.timeZone", a.time_zone).getOrCreate()
     for f in run(spark, a):
         print(f)
     print(f"{time.time() - began:.2f} s")

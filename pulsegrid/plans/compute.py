@@ -68,14 +68,12 @@ def compute_metrics(df: DataFrame, metrics: list[Metric], constants: dict[str, f
     exprs = {m.name: metric_column(m, constants, columns) for m in known}
     if not block_level or not known:
         return df.select("*", *(e.alias(n) for n, e in exprs.items())), [m.name for m in known]
-    counts = df.agg(*(F.count(e).alias(f"m{i}") for i, e in enumerate(exprs.values()))).first()
-    empty = [m for m, n in zip(known, counts, strict=True) if not n]
-    if not empty:
-        return df.select("*", *(e.alias(n) for n, e in exprs.items())), [m.name for m in known]
+    # one row of counts beside every row, and the block means, in the same plan: the frame's shuffle is shared by all three
+    counts = df.agg(*(F.count(e).alias(f"count {i}") for i, e in enumerate(exprs.values())))
     block = [index[0], *index[2:]]
     floats = [c for c, t in df.dtypes if t in ("double", "float") and c not in index]
     means = df.groupBy(*map(col, block)).agg(F.max(col(index[1])).alias(index[1]), *(F.avg(col(c)).alias(c) for c in floats))
-    means = means.select(*map(col, index), *(exprs[m.name].alias(f"block {m.name}") for m in empty))
-    wide = df.join(means, index, "left")
-    late = {m.name for m in empty}
-    return wide.select(*(col(c) for c in df.columns), *((col(f"block {n}") if n in late else e).alias(n) for n, e in exprs.items())), [m.name for m in known]
+    means = means.select(*map(col, index), *(e.alias(f"block {n}") for n, e in exprs.items()))
+    wide = df.join(means, index, "left").join(F.broadcast(counts))
+    either = [F.when(col(f"count {i}") == 0, col(f"block {n}")).otherwise(e).alias(n) for i, (n, e) in enumerate(exprs.items())]
+    return wide.select(*(col(c) for c in df.columns), *either), [m.name for m in known]

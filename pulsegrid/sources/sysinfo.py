@@ -19,10 +19,10 @@ class HeaderError(ValueError):
 
 
 def typed(text: str):
-    """Whole numbers, switches and plain text."""
+    """Whole numbers (also with commas between thousands), switches and plain text."""
     text = text.strip()
     if any(c.isdigit() for c in text):
-        return int(text) if re.fullmatch(r"[+-]?\d+", text) else text
+        return int(text.replace(",", "")) if re.fullmatch(r"[+-]?(\d+|\d{1,3}(,\d{3})+)", text) else text
     return {"yes": True, "enabled": True, "no": False, "disabled": False}.get(text.lower(), text)
 
 

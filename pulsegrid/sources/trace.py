@@ -1,4 +1,4 @@
-"""Text traces to the long event table, as one scan of column expressions."""
+"""Text traces to the long event table: column expressions over one scan, without a shuffle; a second scan counts the blocks."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ieee_div
-from ..schema import EVENTS, PROCESSED_SAMPLES, SAMPLING_TIME, TSC
+from ..schema import EVENTS, PROCESSED_SAMPLES, SAMPLING_TIME, TSC, UNSCALED
 from . import sysinfo
 
-BLOCK = "=" * 10 + "\n"
+RULE = "=" * 10
 NAN = float("nan")
 DATE = r"^(\d{2}/\d{2}/\d{4} \d{2}:\d{2}:\d{2}\.\d{3})"
 #: The four events whose sum scales all perf_metrics events, and the slots they are scaled to.
@@ -39,15 +39,16 @@ def read_header(spark: SparkSession, path: str, ref_tsc: float | None = None, he
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
-    """group (from 1) and body of every block of samples, without the header."""
-    first = spark.read.option("lineSep", "\n").text(path).first()
-    end = BLOCK.replace("\n", "\r\n") if first and first[0].endswith("\r") else BLOCK
-    text = spark.read.option("lineSep", end).text(path).withColumn("body", F.regexp_replace("value", "\r", ""))
-    text = text.withColumn("body", F.regexp_replace("body", r"(?s)^.*Version Info:[^\n]*\n", "")).where(F.trim(F.regexp_replace("body", r"\s", "")) != "")
+    """group (from 1) and body of every block of samples, without the header.
+
+    A file is cut at the rule that ends a block, whatever its line ends; groups are counted by a second scan, one row for each file split.
+    """
+    text = spark.read.option("lineSep", RULE).text(path).withColumn("body", F.replace("value", F.lit("\r"), F.lit("")))
+    text = text.withColumn("body", F.regexp_replace("body", r"(?s)^.*Version Info:[^\n]*\n", "")).where(F.col("body").rlike(r"[^\s]"))
     text = text.select("body", F.monotonically_increasing_id().alias("id"))
     part = F.shiftright("id", 33)
     counts = text.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))  # a row for each file split
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     return text.withColumn("part", part).join(F.broadcast(before), "part").select((F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("int").alias("group"), "body")
 
 
@@ -78,52 +79,63 @@ def in_range(df: DataFrame, samples_between: tuple[int, int] | None = None, time
 
 
 def lines(sampled: DataFrame) -> DataFrame:
-    """group, sample, timestamp, tsc, name and values; the last line of a name in a sample counts."""
-    cells = F.split("line", "\t")
-    each = sampled.select("group", "sample", "timestamp", F.posexplode("lines").alias("no", "line")).select("group", "sample", "timestamp", "no", cells.alias("c")).where(F.size("c") > 1)
-    number = lambda x: F.coalesce(F.regexp_replace(F.trim(x), ",", "").try_cast("double"), F.lit(NAN))
-    each = each.select("group", "sample", "timestamp", "no", F.trim(F.col("c")[0]).alias("name"), F.regexp_replace(F.trim(F.col("c")[1]), ",", "").cast("double").alias("tsc"), F.transform(F.slice("c", 3, F.greatest(F.size("c") - 2, F.lit(0))), number).alias("values"))
-    last = F.row_number().over(Window.partitionBy("group", "sample", "name").orderBy(F.desc("no")))
-    return each.withColumn("last", last).where("last = 1").drop("last")
+    """group, sample, timestamp and lines (name, no, tsc, values) by name; the last line of a name in a sample counts."""
+    number = lambda x: F.coalesce(F.replace(F.trim(x), F.lit(","), F.lit("")).try_cast("double"), F.lit(NAN))
+    cells = F.filter(F.transform("lines", lambda x: F.split(x, "\t")), lambda c: F.size(c) > 1)
+    line = lambda c, no: F.struct(
+        F.trim(c[0]).alias("name"), no.alias("no"), F.replace(F.trim(c[1]), F.lit(","), F.lit("")).cast("double").alias("tsc"),
+        F.transform(F.slice(c, 3, F.greatest(F.size(c) - 2, F.lit(0))), number).alias("values"))
+    each = sampled.select("group", "sample", "timestamp", F.array_sort(F.transform(cells, line)).alias("all"))
+    # sorted by name and number: a line counts if another name follows
+    other = lambda x, i: ~F.coalesce(F.get("all", i + 1)["name"] == x["name"], F.lit(False))
+    return each.select("group", "sample", "timestamp", F.filter("all", other).alias("lines"))
 
 
 def rescaled(each: DataFrame) -> DataFrame:
     """perf_metrics values by the sum of the four top-down events, times slots; null without slots."""
-    top = each.where(F.col("name").isin(*TOP_DOWN, SLOTS)).groupBy("group", "sample").agg(
-        F.collect_list(F.when(F.col("name") != SLOTS, F.col("values"))).alias("parts"), F.first(F.when(F.col("name") == SLOTS, F.col("values")), True).alias("slots"))
-    total = F.aggregate("parts", F.transform("values", lambda v: F.lit(0.0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    scaled = F.when(F.col("slots").isNotNull(), F.zip_with(F.zip_with("values", total, ieee_div), "slots", lambda v, s: v * s)).otherwise(F.transform("values", lambda v: F.lit(None).cast("double")))
-    out = each.join(top, ["group", "sample"], "left")
-    return out.withColumn("values", F.when(F.lower("name").startswith("perf_metrics"), scaled).otherwise(F.col("values"))).drop("parts", "slots")
-
-
-def core_rows(each: DataFrame, topology: list[dict]) -> DataFrame:
-    """A row for each processor of each core event; missing values are NaN, further ones are left out."""
-    fields = ("unit", "socket", "core", "thread", "module", "device")
-    cpus = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(p[k]).alias(k) for k in fields)) for i, p in enumerate(topology)))
-    out = each.select("timestamp", "tsc", "group", "name", "values", F.explode(cpus).alias("p"))
-    value = F.when(F.col("p.i") < F.size("values"), F.get("values", F.col("p.i"))).otherwise(F.lit(NAN))
-    return out.select("timestamp", "p.socket", "p.device", "p.core", "p.thread", "p.unit", "p.module", "tsc", "group", "name", value.alias("value"))
-
-
-def unit_rows(each: DataFrame, sockets: int) -> DataFrame:
+    of = lambda *names: F.transform(F.filter("lines", lambda x: x["name"].isin(*names)), lambda x: x["values"])
+    out = each.select("*", of(*TOP_DOWN).alias("parts"), F.get(of(SLOTS), F.lit(0)).alias("slots"))
+    total = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.get("parts", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    out = out.withColumn("factors", F.zip_with(total, "slots", lambda t, s: F.struct(t.alias("total"), s.alias("slots"))))
+    share = lambda v, f: ieee_div(v, f["total"]) * f["slots"]
+    none = lambda x: F.transform(x["values"], lambda v: F.lit(None).cast("double"))
+    scaled = lambda x: F.when(F.col("slots").isNotNull(), F.zip_with(x["values"], F.col("factors"), share)).otherwise(none(x))
+    values = lambda x: F.when(F.lower(x["name"]).startswith("perf_metrics"), scaled(x)).otherwise(x["values"])
+    return out.select(*each.columns[:-1], F.transform("lines", lambda x: x.withField("values", values(x))).alias("lines"))
+
+
+def pseudo_lines(each: DataFrame, processors: int, ref_tsc: float) -> DataFrame:
+    """Three more lines for each sample, with the ticks of its first line: ticks for each processor, time and number of samples."""
+    tsc = F.array_min(F.transform("lines", lambda x: F.struct(x["no"], x["tsc"])))["tsc"]
+    line = lambda name, values: F.struct(F.lit(name).alias("name"), F.lit(-1).alias("no"), F.col("ticks").alias("tsc"), values.alias("values"))
+    more = F.array(line(TSC, F.array_repeat("ticks", processors)), line(SAMPLING_TIME, F.array(ieee_div(F.col("ticks"), F.lit(ref_tsc)))), line(PROCESSED_SAMPLES, F.array(F.lit(1.0))))
+    out = each.where(F.size("lines") > 0).withColumn("ticks", tsc)
+    return out.select(*each.columns[:-1], F.concat("lines", more).alias("lines"))
+
+
+def core_rows(values: Column, topology: list[dict]) -> Column:
+    """A row for each processor; missing values are NaN, further ones are left out."""
+    fields = ("socket", "core", "thread", "unit", "module", "device")
+    cpus = F.array(*(F.struct(*(F.lit(p[k]).alias(k) for k in fields)) for p in topology))
+    return F.transform(cpus, lambda p, i: F.struct(*(p[k].alias(k) for k in fields), F.when(i < F.size(values), F.get(values, i)).otherwise(F.lit(NAN)).alias("value")))
+
+
+def unit_rows(values: Column, device: Column, sockets: int, name: Column) -> Column:
     """A row for each value of an uncore event: socket by socket, unit by unit."""
-    n = F.size("values")
-    ok = F.when((n >= sockets) & (n % sockets == 0), n).otherwise(F.raise_error(F.concat(F.lit("the values of "), F.col("name"), F.lit(f" can't be dealt to {sockets} sockets"))).cast("int"))
-    out = each.select("timestamp", "tsc", "group", "name", "device", (ok / sockets).cast("int").alias("each"), F.posexplode("values").alias("i", "value"))
-    none = F.lit(None).cast("int")
-    return out.select("timestamp", F.floor(F.col("i") / F.col("each")).cast("int").alias("socket"), "device", none.alias("core"), none.alias("thread"), (F.col("i") % F.col("each")).alias("unit"), none.alias("module"), "tsc", "group", "name", "value")
+    n, none = F.size(values), F.lit(None).cast("int")
+    ok = F.when((n >= sockets) & (n % sockets == 0), n).otherwise(F.raise_error(F.concat(F.lit("the values of "), name, F.lit(f" can't be dealt to {sockets} sockets"))).cast("int"))
+    each = (ok / sockets).cast("int")
+    return F.transform(values, lambda v, i: F.struct(F.floor(i / each).cast("int").alias("socket"), none.alias("core"), none.alias("thread"), (i % each).cast("int").alias("unit"), none.alias("module"), device.alias("device"), v.alias("value")))
 
 
-def pseudo_rows(each: DataFrame, topology: list[dict], ref_tsc: float) -> list[DataFrame]:
-    """Ticks for each processor; time and number of samples."""
-    one = each.groupBy("group", "sample", "timestamp").agg(F.min_by("tsc", "no").alias("tsc"))
+def rows(each: DataFrame, topology: list[dict], sockets: int) -> DataFrame:
+    """The long event table: lines, then the values of a line, are taken apart in one pass."""
+    line = each.select("timestamp", "group", F.explode("lines").alias("l")).select("timestamp", "group", "l.name", "l.tsc", "l.values").withColumn("device", F.when(F.col("name").isin(*UNSCALED), "SYSTEM").otherwise(event_device(F.col("name"))))
     none = F.lit(None).cast("int")
-    cpus = F.array(*(F.struct(F.lit(i).alias("unit"), *(F.lit(p[k]).alias(k) for k in ("socket", "core", "thread", "module", "device"))) for i, p in enumerate(topology)))
-    ticks = one.select("timestamp", "group", "tsc", F.explode(cpus).alias("p")).select("timestamp", "p.socket", "p.device", "p.core", "p.thread", "p.unit", "p.module", "tsc", "group", F.lit(TSC).alias("name"), F.col("tsc").alias("value"))
-    rest = F.array(F.struct(F.lit(SAMPLING_TIME).alias("name"), ieee_div(F.col("tsc"), F.lit(ref_tsc)).alias("value")), F.struct(F.lit(PROCESSED_SAMPLES).alias("name"), F.lit(1.0).alias("value")))
-    system = one.select("timestamp", "group", "tsc", F.explode(rest).alias("e")).select("timestamp", F.lit(0).alias("socket"), F.lit("SYSTEM").alias("device"), none.alias("core"), none.alias("thread"), F.lit(0).alias("unit"), none.alias("module"), "tsc", "group", "e.name", "e.value")
-    return [ticks, system]
+    system = F.transform("values", lambda v: F.struct(F.lit(0).alias("socket"), none.alias("core"), none.alias("thread"), F.lit(0).alias("unit"), none.alias("module"), F.lit("SYSTEM").alias("device"), v.alias("value")))
+    whole = F.when(F.col("device") == "core", core_rows(F.col("values"), topology)).when(F.col("device") == "SYSTEM", system).otherwise(unit_rows(F.col("values"), F.col("device"), sockets, F.col("name")))
+    out = line.select("timestamp", "group", "name", "tsc", F.explode(whole).alias("r"))
+    return out.select("timestamp", "r.socket", "r.device", "r.core", "r.thread", "r.unit", "r.module", "tsc", "group", "name", "r.value")
 
 
 def read_trace(spark: SparkSession, path: str, info: sysinfo.SystemInfo | None = None, *, header: str | None = None, ref_tsc: float | None = None, samples_between: tuple[int, int] | None = None, times_between: tuple | None = None) -> tuple[DataFrame, sysinfo.SystemInfo]:
@@ -134,9 +146,6 @@ def read_trace(spark: SparkSession, path: str, info: sysinfo.SystemInfo | None =
     topology = info.topology()
     if not topology:
         raise sysinfo.HeaderError("the header has no processor map")
-    each = rescaled(lines(in_range(samples(spark, path), samples_between, times_between))).withColumn("device", event_device(F.col("name")))
-    parts = [core_rows(each.where("device = 'core'"), topology), unit_rows(each.where("device <> 'core'"), info.sockets), *pseudo_rows(each, topology, info.ref_tsc)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    each = rescaled(lines(in_range(samples(spark, path), samples_between, times_between)))
+    out = rows(pseudo_lines(each, len(topology), info.ref_tsc), topology, info.sockets)
     return out.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in EVENTS)).where(F.col("value").isNotNull()), info
