@@ -8,7 +8,10 @@ most ``RULE_BLOCK``, so the size of a broadcast is bounded whatever their number
 
 The longest rule wins: more host characters first, then the longer path; of
 equal rules, block.  Null url, or one without ``://``: host and path are empty
-and no rule fits.  Urls without a rule get the default verdict, allow.
+and no rule fits.  Urls without a rule get the default verdict, allow.  Hosts are
+lower-cased in A-Z alone.  Rows are judged one by one, whatever their page_id; other
+columns pass through, those named host, path, rule or verdict are replaced.  An empty
+table gives no rows; without rules every url gets the default.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from .store import plus
 
 RULE_BLOCK = 20_000
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,7 +68,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
     url = F.col("url")
     host, path = split_url(url)
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
-    ordered = sorted({(v, h.lower(), p) for v, h, p in rules})
+    ordered = sorted({(v, h.translate(str.maketrans(UPPER, LOWER)), p) for v, h, p in rules})
     blocks = [ordered[i : i + RULE_BLOCK] for i in range(0, len(ordered), RULE_BLOCK)] or [[]]
     schema = plus(pages, rule="string", verdict="string", _won="long")
     for n, part in enumerate(blocks):
@@ -99,8 +102,8 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 s AS (SELECT page_id, regexp_extract(r, '^([^?#]*)', 1) AS r FROM u),
-p AS (SELECT page_id, lower(regexp_extract(r, '^([^/]*)', 1)) AS host, regexp_extract(r, '^[^/]*(.*)$', 1) AS path FROM s),
-rules(verdict, h, q) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (SELECT page_id, translate(regexp_extract(r, '^([^/]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/]*(.*)$', 1) AS path FROM s),
+rules(verdict, h, q) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 m AS (SELECT page_id, h || q AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h) DESC, length(q) DESC) AS n
       FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1
