@@ -28,7 +28,7 @@ from .kernels import BASE, STEP, mix, powers, ragged
 from .store import plus
 
 NONE = np.int32(2**31 - 1)
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 CACHE_WORDS = 1_000_000
 _CLASS: list[np.ndarray] = []
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -196,6 +196,9 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
+_ENCODERS: dict[tuple[type, str], Encoder] = {}
+
+
 class Encoder:
     """Encodes texts; words_to_ids encodes a list of distinct pre-tokens to (flat ids, number of ids of each)."""
 
@@ -205,6 +208,13 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, sorted(vocab.special, key=len, reverse=True)))) if vocab.special else None
         self.clear()
 
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this process, whose known words serve all its tasks."""
+        if (cls, path) not in _ENCODERS:
+            _ENCODERS[cls, path] = cls(path) if cls is not Encoder else cls(vocabulary(path))
+        return _ENCODERS[cls, path]
+
     def by_merging(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self.vocab.merge(np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words)))
 
@@ -235,7 +245,7 @@ class Encoder:
             first = np.cumsum(count) - count + len(self.ids)
             self.ids = np.concatenate([self.ids, flat])
             known = np.concatenate([self.known, uniq[new]])
-            order = np.argsort(known)
+            order = np.argsort(known, kind="stable")  # merges two sorted runs
             self.known, self.start, self.count = known[order], np.concatenate([self.start, first])[order], np.concatenate([self.count, count])[order]
             at = np.searchsorted(self.known, uniq)
         at = at[inv]
@@ -306,8 +316,8 @@ def _codec(docs: DataFrame, path: str, text: str, result: Callable, columns: lis
     schema = plus(docs, **{n: kind for n, kind, _ in columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
-        e = Encoder(v)
+        e = Encoder.of(path)
+        v = e.vocab
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 b = whole.slice(a, 1024)

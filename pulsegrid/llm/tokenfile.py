@@ -1,9 +1,12 @@
 """Token ids in files: canonical, length-limited Huffman codes from global counts.
 
-Writing takes three passes.  (1) Texts are encoded with the tokenizers library
-and dealt out by ranges of doc_id; each task sorts its range and packs whole
-documents into blocks.  (2) Ids of all blocks are counted.  (3) Package-merge
-gives code lengths of at most ``MAX_BITS``, and every block is coded alone.
+Writing takes three passes.  (1) Texts are dealt out by ranges of (doc_id, a hash
+of the text), as many as the session has shuffle partitions; each task sorts its
+range, encodes it with the tokenizers library and packs whole documents into
+blocks.  The library gets the distinct pre-tokens of a stretch of documents, and
+whole texts wherever special tokens or hashes call for it.  (2) Ids of all blocks
+are counted.  (3) Package-merge gives code lengths of at most ``MAX_BITS``, and
+every block is coded alone.
 
 A file set is a folder with two Parquet tables: ``code`` (one row: the code
 length of every id) and ``blocks`` (part, block, first token number, doc ids,
@@ -15,8 +18,9 @@ each id.
 
 Parts ascend by doc_id, blocks ascend in a part, documents in a block.  Null
 text is the empty text: only the end id is stored.  A null doc_id sorts first.
-Rows with one doc_id keep no defined order between them.  An empty table gives
-an empty file set with an empty code.
+Rows with one doc_id are in the order of a hash of their text; equal rows are stored
+each.  An empty table gives an empty file set with an empty code.  Other columns
+than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
+from .kernels import ragged
 from .store import batch, new_path, remove, save
 
 MAX_BITS = 16
 RUN = 64
 BLOCK_IDS = 1 << 16
-PART_ROWS = 4096
+JOINED = 512  # pre-tokens in one call of the library
 
 
 class LibraryEncoder(bpe.Encoder):
@@ -52,8 +58,29 @@ class LibraryEncoder(bpe.Encoder):
         super().__init__(bpe.vocabulary(path), self.by_library)
 
     def by_library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        return np.fromiter((i for x in got for i in x), np.int32), np.fromiter(map(len, got), np.int64, len(got))
+        """A space and letters stay a pre-token of their own among others of that kind, so these go in long texts; ids are told apart by their bytes."""
+        texts = [w.decode() for w in words]
+        plain = np.fromiter((t[0] == " " and t[1:].isalpha() for t in texts), bool, len(texts))
+        joined, single = np.flatnonzero(plain), np.flatnonzero(~plain)
+        asked = ["".join(texts[i] for i in joined[a : a + JOINED]) for a in range(0, len(joined), JOINED)]
+        flat = self._ids(asked)[0]
+        end = np.cumsum(np.fromiter((len(words[i]) for i in joined), np.int64, len(joined)))
+        bytes_ = np.cumsum(self.vocab.lens[flat])
+        stop = np.searchsorted(bytes_, end)
+        if len(joined) and (stop[-1] >= len(bytes_) or (bytes_[stop] != end).any()):  # a token across two words: the library cuts them otherwise
+            return self._ids(texts)
+        count = np.zeros(len(texts), np.int64)
+        count[joined] = np.diff(stop + 1, prepend=0)
+        alone, count[single] = self._ids([texts[i] for i in single])
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int32)
+        out[ragged(first[joined], count[joined])] = flat
+        out[ragged(first[single], count[single])] = alone
+        return out, count
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *got]), np.fromiter(map(len, got), np.int64, len(got))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -153,61 +180,38 @@ def unsqueeze(blob: bytes, count: int) -> np.ndarray:
 
 
 def _encode(path: str, end_id: int):
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary())])
+    """Sorted documents of one part to blocks of whole documents."""
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("skip", pa.int64()), ("key", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = LibraryEncoder(path)
+        e, part = LibraryEncoder.of(path), TaskContext.get().partitionId()
+        block, skip, docs, held, key = 0, 0, [], [], None
+
+        def flush() -> pa.RecordBatch:
+            nonlocal block, skip
+            n = [len(x) for x in held]
+            out = batch(schema, [part], [block], [skip], [key], [list(docs)], [n], [squeeze(np.concatenate(held))])
+            block, skip = block + 1, skip + sum(n)
+            docs.clear()
+            held.clear()
+            return out
+
+        size = 0
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 b = whole.slice(a, 1024)
-                n, wide, packed = [], [], []
-                for own in e.encode(b.column(2).to_pylist()):
-                    own = np.append(own, end_id).astype(np.int32)
-                    n.append(len(own))
-                    wide.append(bool(own.max() > 0xFFFF))
-                    packed.append(squeeze(own))
-                yield batch(schema, b.column(0).cast(pa.int32()), b.column(1).cast(pa.int64()), n, wide, packed)
-
-    return run
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted documents of one or more parts to blocks of whole documents."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("skip", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())])
-    part, block, skip, total = None, 0, 0, 0
-    docs: list = []
-    counts: list[int] = []
-    packed: list[bytes] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal block, skip, total
+                for d, k, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), e.encode(b.column(2).to_pylist()), strict=True):
+                    key = k if not docs else key
+                    docs.append(d)
+                    held.append(np.append(own, end_id).astype(np.int32))
+                    size += len(own) + 1
+                    if size >= BLOCK_IDS:
+                        yield flush()
+                        size = 0
         if docs:
-            yield batch(schema, [part], [block], [skip], [list(docs)], [list(counts)], [[len(x) for x in packed]], [b"".join(packed)])
-            block, skip, total = block + 1, skip + total, 0
-            docs.clear()
-            counts.clear()
-            packed.clear()
+            yield flush()
 
-    for b in batches:
-        for p, d, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-            if p != part:
-                yield from flush()
-                part, block, skip = p, 0, 0
-            docs.append(d)
-            counts.append(n)
-            packed.append(x)
-            total += n
-            if total >= BLOCK_IDS:
-                yield from flush()
-    yield from flush()
-
-
-def block_ids(counts: list[int], sizes: list[int], packed: bytes) -> np.ndarray:
-    out, at = [], 0
-    for n, size in zip(counts, sizes, strict=True):
-        out.append(unsqueeze(packed[at : at + size], n))
-        at += size
-    return np.concatenate(out)
+    return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +219,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            new = np.bincount(block_ids(*row), minlength=len(total))
+            new = np.bincount(unsqueeze(row[1], sum(row[0])), minlength=len(total))
             new[: len(total)] += total
             total = new
     at = np.flatnonzero(total)
@@ -227,42 +231,30 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = 2, out:
     spark = docs.sparkSession
     path = path or bpe.vocabulary_path()
     out = out or new_path(spark, "tokens")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.count()
-    parts = max(1, -(-rows // PART_ROWS))
-    bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    bounds = sorted(set(bounds))[: parts - 1] if parts > 1 else []
-    table = np.array(bounds, np.int64)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).fill_null(-(2**63)).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(table, ids, "left").astype(np.int32)), *b.columns], names=["part", "doc_id", "text"])
-
-    encode = _encode(path, end_id)
-    coded = docs.mapInArrow(lambda it: encode(number(it)), "part int, doc_id long, n long, wide boolean, ids binary")
-    ordered = coded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id")
-    raw_path = save(ordered.mapInArrow(_blocks, "part int, block long, skip long, docs array<long>, counts array<long>, sizes array<long>, ids binary"), "ids")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    ordered = docs.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
+    raw_path = save(ordered.mapInArrow(_encode(path, end_id), "part long, block long, skip long, key long, docs array<long>, counts array<long>, ids binary"), "ids")
     raw = spark.read.parquet(raw_path)
-    counted = raw.select("counts", "sizes", "ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = raw.select("counts", "ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(max([0, *counted["id"].to_pylist()]) + 1, np.int64)
     counts[counted["id"].to_numpy()] = counted["n"].to_numpy()
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()), MAX_BITS, RUN, 1)], "lengths binary, max_bits int, run int, version int").coalesce(1).write.mode("overwrite").parquet(f"{out}/code")
     # one row for each part: its first token number
-    size = raw.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).toArrow().sort_by("part")
+    tokens = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    size = raw.groupBy("part").agg(F.sum(tokens).alias("n"), F.min(F.when(F.col("block") == 0, F.struct(F.get("docs", F.lit(0)).alias("d"), "key"))).alias("first")).orderBy("first").select("part", "n").toArrow()
     begin = dict(zip(size["part"].to_pylist(), np.concatenate([[0], np.cumsum(size["n"].to_numpy())])[:-1].tolist(), strict=True))
     shared = spark.sparkContext.broadcast((lengths, begin))
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("start", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, first = Code(shared.value[0]), shared.value[1]
         for b in batches:
             for i in range(b.num_rows):
-                part, block, skip, docs_, n, sizes, ids = (c[i].as_py() for c in b.columns)
-                yield batch(schema, [part], [block], [first[part] + skip], [docs_], [n], [code.pack(block_ids(n, sizes, ids))])
+                part, block, skip, docs_, n, ids = (c[i].as_py() for c in b.columns)
+                yield batch(schema, [part], [block], [first[part] + skip], [docs_], [n], [code.pack(unsqueeze(ids, sum(n)))])
 
-    raw.mapInArrow(pack, "part int, block long, start long, docs array<long>, counts array<long>, payload binary").write.mode("overwrite").option("compression", "none").parquet(f"{out}/blocks")
+    raw.drop("key").mapInArrow(pack, "part long, block long, start long, docs array<long>, counts array<long>, payload binary").write.mode("overwrite").option("compression", "none").parquet(f"{out}/blocks")
     remove(spark, raw_path)
     return out
 
