@@ -13,6 +13,8 @@ partitioning.  Every text is predicted.
 Null text, or text without a letter: ``und``, score 0.  Rows without lang are
 not learned from.  No labelled row at all: every text gets ``und``.  Ties go to
 the language that sorts first.  The score is the posterior of the best language.
+Rows are predicted one by one, whatever their doc_id; a null doc_id is not held out.
+Other columns pass through, those with the names of the results are replaced.
 """
 
 from __future__ import annotations
