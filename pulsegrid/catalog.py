@@ -254,10 +254,10 @@ UNION ALL SELECT timestamp, CAST(cpu // 2 AS INTEGER), 'core', CAST(cpu // 2 AS
 UNION ALL SELECT timestamp, 0, 'SYSTEM', NULL, NULL, 0, NULL, '$samplingTime', tsc / 2e9 FROM b
 UNION ALL SELECT timestamp, 0, 'SYSTEM', NULL, NULL, 0, NULL, '$processed_samples', 1.0 FROM b),
 rows AS (SELECT trace.*, b.tsc, b.grp, b.no FROM trace JOIN b USING (timestamp))"""
-query("trace_rows", f"WITH {TRACE} SELECT * EXCLUDE (no) FROM rows")(lambda s, d: trace(s, d).withColumnRenamed("group", "grp"))
-query("trace_samples_between", f"WITH {TRACE} SELECT * EXCLUDE (no) FROM rows WHERE no BETWEEN 20 AND 60")(lambda s, d: trace(s, d, samples_between=(20, 60)).withColumnRenamed("group", "grp"))
-query("trace_times_between", f"WITH {TRACE} SELECT * EXCLUDE (no) FROM rows WHERE timestamp BETWEEN timestamp '2024-01-03 05:00:00' AND timestamp '2024-01-04 07:00:00'")(
-    lambda s, d: trace(s, d, times_between=("2024-01-03 05:00:00", "2024-01-04 07:00:00")).withColumnRenamed("group", "grp"))
+query("trace_rows", f"WITH {TRACE} SELECT * EXCLUDE (no) REPLACE (coalesce(core, -1) AS core, coalesce(thread, -1) AS thread, coalesce(module, -1) AS module) FROM rows")(lambda s, d: trace(s, d).withColumnRenamed("group", "grp").fillna(-1, ["core", "thread", "module"]))
+query("trace_samples_between", f"WITH {TRACE} SELECT * EXCLUDE (no) REPLACE (coalesce(core, -1) AS core, coalesce(thread, -1) AS thread, coalesce(module, -1) AS module) FROM rows WHERE no BETWEEN 20 AND 60")(lambda s, d: trace(s, d, samples_between=(20, 60)).withColumnRenamed("group", "grp").fillna(-1, ["core", "thread", "module"]))
+query("trace_times_between", f"WITH {TRACE} SELECT * EXCLUDE (no) REPLACE (coalesce(core, -1) AS core, coalesce(thread, -1) AS thread, coalesce(module, -1) AS module) FROM rows WHERE timestamp BETWEEN timestamp '2024-01-03 05:00:00' AND timestamp '2024-01-04 07:00:00'")(
+    lambda s, d: trace(s, d, times_between=("2024-01-03 05:00:00", "2024-01-04 07:00:00")).withColumnRenamed("group", "grp").fillna(-1, ["core", "thread", "module"]))
 query("topdown_rescale", f"WITH {TRACE} SELECT grp, timestamp, unit, name, value FROM rows WHERE starts_with(name, 'PERF_METRICS')")(
     lambda s, d: trace(s, d).where(F.col("name").startswith("PERF_METRICS")).select(F.col("group").alias("grp"), "timestamp", "unit", "name", "value"))
 query("processor_lookup", f"WITH {TRACE} SELECT DISTINCT unit, socket, core, thread, module FROM rows WHERE device = 'core'")(
