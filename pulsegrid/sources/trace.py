@@ -54,7 +54,7 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """group, sample (from 0 in its block), timestamp and lines; lines before a first date don't count."""
-    each = blocks(spark, path).select("group", F.posexplode(F.split("body", r"\n-{10}(?:\n|$)")).alias("sample", "text"))
+    each = blocks(spark, path).select("group", F.posexplode_outer(F.split("body", r"\n-{10}(?:\n|$)")).alias("sample", "text"))
     date = F.regexp_extract(F.regexp_extract("text", r"(?m)" + DATE, 0), DATE, 1)
     each = each.withColumn("text", F.regexp_extract("text", r"(?sm)^(\d{2}/\d{2}/\d{4} \d{2}:.*)", 1)).withColumn("timestamp", F.try_to_timestamp(date, F.lit("MM/dd/yyyy HH:mm:ss.SSS"))).where(F.col("timestamp").isNotNull())
     return each.select("group", "sample", "timestamp", F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit("\t"))).alias("lines"))
@@ -109,8 +109,8 @@ def pseudo_lines(each: DataFrame, processors: int, ref_tsc: float) -> DataFrame:
     tsc = F.array_min(F.transform("lines", lambda x: F.struct(x["no"], x["tsc"])))["tsc"]
     line = lambda name, values: F.struct(F.lit(name).alias("name"), F.lit(-1).alias("no"), F.col("ticks").alias("tsc"), values.alias("values"))
     more = F.array(line(TSC, F.array_repeat("ticks", processors)), line(SAMPLING_TIME, F.array(ieee_div(F.col("ticks"), F.lit(ref_tsc)))), line(PROCESSED_SAMPLES, F.array(F.lit(1.0))))
-    out = each.where(F.size("lines") > 0).withColumn("ticks", tsc)
-    return out.select(*each.columns[:-1], F.concat("lines", more).alias("lines"))
+    out = each.withColumn("ticks", tsc)  # a filter here would be pushed down, with all expressions of lines
+    return out.select(*each.columns[:-1], F.when(F.size("lines") > 0, F.concat("lines", more)).otherwise(F.col("lines")).alias("lines"))
 
 
 def core_rows(values: Column, topology: list[dict]) -> Column:
@@ -129,12 +129,15 @@ def unit_rows(values: Column, device: Column, sockets: int, name: Column) -> Col
 
 
 def rows(each: DataFrame, topology: list[dict], sockets: int) -> DataFrame:
-    """The long event table: lines, then the values of a line, are taken apart in one pass."""
-    line = each.select("timestamp", "group", F.explode("lines").alias("l")).select("timestamp", "group", "l.name", "l.tsc", "l.values").withColumn("device", F.when(F.col("name").isin(*UNSCALED), "SYSTEM").otherwise(event_device(F.col("name"))))
+    """The long event table, with rows of null values: lines, then the values of a line, are taken apart in one pass.
+
+    The outer kind of explode brings no inferred filter, which would evaluate the arrays once more for each of their elements.
+    """
+    line = each.select("timestamp", "group", F.explode_outer("lines").alias("l")).select("timestamp", "group", "l.name", "l.tsc", "l.values").withColumn("device", F.when(F.col("name").isin(*UNSCALED), "SYSTEM").otherwise(event_device(F.col("name"))))
     none = F.lit(None).cast("int")
     system = F.transform("values", lambda v: F.struct(F.lit(0).alias("socket"), none.alias("core"), none.alias("thread"), F.lit(0).alias("unit"), none.alias("module"), F.lit("SYSTEM").alias("device"), v.alias("value")))
     whole = F.when(F.col("device") == "core", core_rows(F.col("values"), topology)).when(F.col("device") == "SYSTEM", system).otherwise(unit_rows(F.col("values"), F.col("device"), sockets, F.col("name")))
-    out = line.select("timestamp", "group", "name", "tsc", F.explode(whole).alias("r"))
+    out = line.select("timestamp", "group", "name", "tsc", F.explode_outer(whole).alias("r"))
     return out.select("timestamp", "r.socket", "r.device", "r.core", "r.thread", "r.unit", "r.module", "tsc", "group", "name", "r.value")
 
 
