@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -130,18 +130,30 @@ STATS = ["min", "max", "95th percentile", "variation (stdev/avg)"]
 
 
 def statistics(detailed: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """name, min, max, 95th percentile, variation (stdev/avg): a row for each column."""
+    """name, min, max, 95th percentile, variation (stdev/avg): a row for each column.
+
+    The percentile is exact and takes two rows of each name's sorted values, so no buffer holds them all; with an accuracy it is approximate.
+    """
     long = detailed.select(*(col(c).cast("double").alias(c) for c in columns)).unpivot([], [col(c) for c in columns], "name", "v")
     v = F.col("v")
-    return long.groupBy("name").agg(N.nan_min(v).alias(STATS[0]), N.nan_max(v).alias(STATS[1]), N.p95(v, accuracy).alias(STATS[2]), N.variation(v).alias(STATS[3]))
+    some = F.when(~F.isnan(v), v)
+    head = long.groupBy("name").agg(N.nan_min(v).alias(STATS[0]), N.nan_max(v).alias(STATS[1]), *([N.p95(v, accuracy).alias(STATS[2])] if accuracy else []), N.variation(v).alias(STATS[3]), F.count(some).alias("n"))
+    if not accuracy:
+        at = F.lit(0.95) * (F.col("n") - 1)
+        place = (F.row_number().over(Window.partitionBy("name").orderBy("v")) - 1).alias("place")
+        near = long.where(some.isNotNull()).select("name", "v", place).join(head.select("name", at.alias("at")), "name").where((F.col("place") == F.floor("at")) | (F.col("place") == F.ceil("at")))
+        low, high = F.min("v"), F.max("v")
+        p95 = near.groupBy("name").agg((low + (high - low) * (F.max("at") - F.floor(F.max("at")))).alias(STATS[2]))
+        head = head.join(p95, "name", "left")
+    return head.select("name", *map(col, STATS))
 
 
 def statistics_rows(detailed: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """The same, a row for each statistic."""
-    stats = [N.nan_min, N.nan_max, lambda c: N.p95(c, accuracy), N.variation]
-    one = detailed.agg(*(f(col(c).cast("double")).alias(f"{i} {c}") for i, f in enumerate(stats) for c in columns))
-    row = F.array(*(F.struct(F.lit(s).alias("stat"), *(col(f"{i} {c}").alias(c) for c in columns)) for i, s in enumerate(STATS)))
-    return one.select(F.explode(row).alias("r")).select("r.*")
+    long = statistics(detailed, columns, accuracy)
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("stat"), col(s).alias("v")) for i, s in enumerate(STATS)))).alias("s")
+    wide = pivot(long.select("name", each).select("name", "s.i", "s.stat", "s.v"), ["i", "stat"], "name", "v", columns, "first")
+    return wide.orderBy("i").select("stat", *map(col, columns))
 
 
 def system_summary(df: DataFrame, view: View, ref_tsc: float, accuracy: int | None = None) -> DataFrame:
