@@ -9,8 +9,12 @@ gram of the whole window; those of one document with the same such gram are one
 context, a stretch of text.  All places of a repeated window meet under one key,
 in contexts, and unrelated text is left out before any text is sent.
 
-Equal texts are merged into classes first; only a class's smallest document is
-routed.  Equal contexts under a key are merged before and after the shuffle.
+Equal texts are merged into classes first, told apart by 16 bytes; only a class's
+smallest document is routed.  Equal contexts under a key are merged before and after
+the shuffle.  Where the contexts under one key still make more than a shard (a passage
+in very many surroundings), each is cut by a second, longer gram of its windows, and
+the cuts, which are shorter and more often equal, are merged and dealt out by both
+grams; so up to ``LEVELS`` times, with grams of up to the whole window.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import raw
-from .store import batch, keep
+from .kernels import mix, raw
+from .store import batch, keep, release
 
-SHARD_BYTES = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
+LEVELS = 3
+SALTS = 8
 
 
 def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
@@ -79,33 +84,35 @@ def digest(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and (c1, c2): 16 bytes that tell texts apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit(1), "text").alias("c2"))
+
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """c1, c2, size and least, the smallest doc_id, of each text; docs of named()."""
+    return keep(docs.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "classes")
+
+
 def samples(docs: DataFrame, units: Units) -> DataFrame:
-    """doc_id, cls (a hash of the text), anchor and whether the row has it more than once; equal texts of a batch count once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("anchor", pa.int64()), ("again", pa.bool_())])
+    """c1, c2, anchor and whether the text has it more than once; equal texts of a batch count once."""
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("anchor", pa.int64()), ("again", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: set[int] = set()
-            order = np.argsort(b.column(0).fill_null(2**63 - 1).to_numpy(), kind="stable")
-            b = b.take(pa.array(order))
-            buf, offs = raw(b.column(1))
-            ids = b.column(0).to_pylist()
-            new = []
-            for i in range(len(ids)):
-                cls = digest(buf[offs[i] : offs[i + 1]].tobytes())
-                if ids[i] is not None and cls not in seen and offs[i + 1] - offs[i] >= units.window:
-                    seen.add(cls)
-                    new.append((i, cls))
+            buf, offs = raw(b.column(0))
+            seen = {k: i for i, k in reversed(list(enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))))}
+            new = sorted((i, k) for k, i in seen.items() if offs[i + 1] - offs[i] >= units.window)
             lens = np.diff(offs)[[i for i, _ in new]] if new else np.zeros(0, np.int64)
             sub = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
             part = np.concatenate([buf[offs[i] : offs[i + 1]] for i, _ in new]) if new else buf[:0]
-            for (i, cls), (grams, _) in zip(new, units.split(part, sub), strict=True):
+            for (_, (c1, c2)), (grams, _) in zip(new, units.split(part, sub), strict=True):
                 if len(grams) < units.window - units.gram + 1:
                     continue
                 value, count = np.unique(grams[np.unique(sampled(units, grams))], return_counts=True)
-                yield batch(schema, [ids[i]] * len(value), [cls] * len(value), value.view(np.int64), count > 1)
+                yield batch(schema, np.full(len(value), c1), np.full(len(value), c2), value.view(np.int64), count > 1)
 
-    return docs.mapInArrow(lambda it: merged(run(it), schema), "doc_id long, cls long, anchor long, again boolean")
+    return docs.select("text", "c1", "c2").mapInArrow(lambda it: merged(run(it), schema), "c1 long, c2 long, anchor long, again boolean")
 
 
 def merged(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -122,21 +129,23 @@ def merged(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows: int = 20_
 
 
 def route(docs: DataFrame, units: Units, classes: DataFrame) -> DataFrame:
-    """Contexts: anchor, cid, doc_id, start, windows, weight, and the text (of the first of equal ones in a batch).
+    """Contexts: anchor, cid, c1, c2, least, start, windows, weight, and the text (of the first of equal ones in a batch).
 
-    classes: (cls, doc_id, size) with each class's smallest document.
+    docs of named(); classes: (c1, c2, least, size).  A text is routed once, by its smallest document.
     """
     found = keep(samples(docs, units), "samples")
-    again = found.groupBy("anchor").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.max("again").alias("again")).where("lo < hi or again").select("anchor")
-    mine = found.select("doc_id", "cls", "anchor").join(again, "anchor").join(classes.select("doc_id", "size"), "doc_id")
-    mine = mine.groupBy("doc_id").agg(F.first("size").alias("size"), F.collect_set("anchor").alias("anchors"))
-    schema = pa.schema([("anchor", pa.int64()), ("cid", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("weight", pa.int64()), ("context", pa.binary())])
+    again = found.groupBy("anchor").agg(*(f(c).alias(n) for c in ("c1", "c2") for f, n in ((F.min, f"lo_{c}"), (F.max, f"hi_{c}"))), F.max("again").alias("again"))
+    again = again.where("lo_c1 < hi_c1 or lo_c2 < hi_c2 or again").select("anchor")
+    mine = found.join(again, "anchor").groupBy("c1", "c2").agg(F.collect_set("anchor").alias("anchors"))
+    mine = mine.join(classes.hint("merge"), ["c1", "c2"])
+    schema = pa.schema([("anchor", pa.int64()), ("cid", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("least", pa.int64()), ("start", pa.int64()), ("windows", pa.int64()), ("weight", pa.int64()), ("context", pa.binary())])
     whole, half = units.window - units.gram + 1, units.half
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, offs = raw(b.column("text"))
-            ids, size, known = b.column("doc_id").to_pylist(), b.column("size").to_pylist(), b.column("anchors")
+            ids = list(zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "least")), strict=True))
+            size, known = b.column("size").to_pylist(), b.column("anchors")
             sent: set[tuple[int, int]] = set()
             for i, (grams, text) in enumerate(units.split(buf, offs)):
                 if len(grams) < whole:
@@ -159,17 +168,78 @@ def route(docs: DataFrame, units: Units, classes: DataFrame) -> DataFrame:
                     if fit[a]:
                         context = text(a, z - 1 + units.window)
                         name = int(grams[key[a]].view(np.int64)), digest(context)
-                        rows.append((*name, ids[i], a, z - a, size[i], None if name in sent else context))
+                        rows.append((*name, *ids[i], a, z - a, size[i], None if name in sent else context))
                         sent.add(name)
                 yield batch(schema, *zip(*rows, strict=True))
 
-    return docs.join(mine, "doc_id").select("doc_id", "text", "size", "anchors").mapInArrow(lambda it: merged(run(it), schema, 2000), "anchor long, cid long, doc_id long, start long, windows long, weight long, context binary")
+    once = docs.join(mine.hint("merge"), ["c1", "c2"]).where(F.col("doc_id").eqNullSafe(F.col("least")))
+    return once.select("text", "c1", "c2", "least", "size", "anchors").mapInArrow(lambda it: merged(run(it), schema, 2000), "anchor long, cid long, c1 long, c2 long, least long, start long, windows long, weight long, context binary")
+
+
+def decided(routed: DataFrame, units: Units, shard: Callable[[pa.Table], pa.Table], result: str, shard_bytes: int) -> DataFrame:
+    """Run shard on bounded groups of distinct contexts (anchor, cid, context, windows, least: smallest, weight: total) and join its result, a binary column of equal pieces for each window, to all places (c1, c2, least, start)."""
+    release(routed.sparkSession)
+    contexts = keep(merged_contexts(routed), "contexts")
+    release(routed.sparkSession)
+    found = resolved(contexts, units, shard, result, shard_bytes)
+    return routed.select("anchor", "cid", "c1", "c2", "least", "start", "windows").join(found, ["anchor", "cid"])
+
+
+def merged_contexts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("anchor", "cid").agg(F.first("context", ignorenulls=True).alias("context"), F.first("windows").alias("windows"), F.min("least").alias("least"), F.sum("weight").alias("weight"))
+
+
+def resolved(contexts: DataFrame, units: Units, shard: Callable[[pa.Table], pa.Table], result: str, shard_bytes: int, level: int = 0) -> DataFrame:
+    """(anchor, cid, result) of all contexts.  Anchors with more text than a shard are split by another gram of each window."""
+    sizes = contexts.groupBy("anchor").agg(F.sum(F.octet_length("context")).alias("bytes"))
+    size, most = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+    shards = max(1, (size or 0) // shard_bytes)
+    heavy = sizes.where(F.col("bytes") > shard_bytes).select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge") if (most or 0) > shard_bytes and level < LEVELS else None
+    salted = contexts.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALTS)).cast("int"))  # the contexts of one anchor go to several tasks
+    light = contexts if heavy is None else salted.join(heavy, ["anchor", "salt"], "left_anti").drop("salt")
+    found = light.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, f"anchor long, cid long, {result} binary")
+    if heavy is None:
+        return found
+    kind = "anchor long, cid long, at long, anchor2 long, cid2 long, windows long, least long, weight long, context binary"
+    parts = keep(salted.join(heavy, ["anchor", "salt"], "left_semi").drop("salt").mapInArrow(_divided(units, level + 1), kind), "parts")
+    release(parts.sparkSession)
+    finer = parts.select(F.col("anchor2").alias("anchor"), F.col("cid2").alias("cid"), "windows", "least", "weight", "context")
+    deeper = resolved(keep(merged_contexts(finer), "contexts"), units, shard, result, shard_bytes, level + 1).toDF("anchor2", "cid2", result)
+    pieces = parts.select("anchor", "cid", "at", "anchor2", "cid2").join(deeper, ["anchor2", "cid2"])
+    # a context's windows, put together again in order
+    whole = pieces.groupBy("anchor", "cid").agg(F.sort_array(F.collect_list(F.struct("at", result))).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda out, x: F.concat(out, x[result]))
+    return found.unionByName(whole.select("anchor", "cid", joined.alias(result)))
+
+
+def _divided(units: Units, level: int):
+    """Contexts cut where the smallest of a window's longer grams changes its place; grams of about half, three quarters and all of a window, by level."""
+    schema = pa.schema([(c, pa.int64()) for c in ("anchor", "cid", "at", "anchor2", "cid2", "windows", "least", "weight")] + [("context", pa.binary())])
+    times = units.window // units.gram * (level + 1) // (LEVELS + 1)  # grams in a longer one
+    whole = units.window - times * units.gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            buf, offs = raw(b.column("context"))
+            row = list(zip(*(b.column(c).to_pylist() for c in ("anchor", "cid", "windows", "least", "weight")), strict=True))
+            for (anchor, cid, n, least, weight), (grams, text) in zip(row, units.split(buf, offs), strict=True):
+                count = len(grams) - (times - 1) * units.gram
+                long = np.zeros(count, np.uint64)
+                for j in range(times):
+                    long = mix(long + grams[j * units.gram : j * units.gram + count], 90 + level)
+                key = sliding_least(long, whole)[:n]
+                edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+                names = mix(long[key[edge]] ^ mix(np.array([anchor], np.int64).view(np.uint64), level), 80).view(np.int64).tolist()
+                rows = []
+                for a, z, name in zip(edge, [*edge[1:], n], names, strict=True):
+                    part = text(a, z - 1 + units.window)
+                    rows.append((anchor, cid, a, name, digest(part), z - a, least, weight, part))
+                yield batch(schema, *zip(*rows, strict=True))
+
+    return lambda it: merged(run(it), schema, 2000)
 
 
-def decided(routed: DataFrame, shard: Callable[[pa.Table], pa.Table], result: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Run shard on bounded groups of distinct contexts (anchor, cid, context, windows, doc_id: smallest, weight: total) and join its result to all places."""
-    contexts = routed.groupBy("anchor", "cid").agg(F.first("context", ignorenulls=True).alias("context"), F.first("windows").alias("windows"), F.min("doc_id").alias("doc_id"), F.sum("weight").alias("weight"))
-    size = routed.where("context is not null").agg(F.sum(F.octet_length("context"))).first()[0] or 0
-    shards = max(1, size // shard_bytes)
-    found = contexts.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInArrow(shard, f"anchor long, cid long, {result}")
-    return routed.select("anchor", "cid", "doc_id", "start", "windows").join(found, ["anchor", "cid"])
+def spans_by_text(docs: DataFrame, spans: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs of named() with least and size of their text's class and its spans (an array of (a, b), maybe null)."""
+    per = spans.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return docs.join(classes.join(per.hint("merge"), ["c1", "c2"], "left").hint("merge"), ["c1", "c2"], "left")

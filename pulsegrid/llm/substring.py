@@ -13,8 +13,10 @@ them together would grow with the corpus.
 
 Windows are judged on the input.  A copy of a smaller document of at least 50
 words loses all its words.  Null text has no words.  Words are split at spaces
-and the ASCII controls tab to CR, and stay unchanged.  doc_id is expected to be
-unique; rows without doc_id keep all their words and serve as no reference.
+and the ASCII controls tab to CR, and stay unchanged.  Rows that share a doc_id are
+the same document: none is a reference for another, and each loses what smaller
+documents have.  Rows without doc_id keep all their words and serve as no reference.
+Other columns than doc_id and text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Units, decided, digest, route
+from .anchors import Units, decided, named, route, spans_by_text, text_classes
 from .kernels import chunks, grams, raw, spans_hash, words
-from .store import batch, blobs, keep, plus
+from .store import batch, blobs, keep
 
 WINDOW = 50
 SHARD_BYTES = 1 << 17  # an automaton takes over a hundred times its text
@@ -122,7 +124,7 @@ class Automaton:
 
 def _shard(table: pa.Table) -> pa.Table:
     """The first document of every window of every context."""
-    texts, owners = table["context"].to_pylist(), table["doc_id"].to_pylist()
+    texts, owners = table["context"].to_pylist(), table["least"].to_pylist()
     anchors = table["anchor"].to_numpy()
     _, inverse, count = np.unique(anchors, return_inverse=True, return_counts=True)
     names: dict[bytes, int] = {}
@@ -137,48 +139,29 @@ def _shard(table: pa.Table) -> pa.Table:
     return pa.table({"anchor": table["anchor"], "cid": table["cid"], "first": blobs(n * 8, np.concatenate(found).tobytes())})
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of words (doc_id, from, to) covered by repeats."""
-    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+def hit_spans(batches: Iterator[pa.RecordBatch], hits: Callable[[pa.Buffer, int], np.ndarray], window: int) -> Iterator[pa.RecordBatch]:
+    """Stretches (c1, c2, a, b) covered by windows; hits tells those of a row from its result and least."""
+    schema = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
     for b in batches:
         out = []
-        for doc, start, first in zip(b.column("doc_id").to_pylist(), b.column("start").to_pylist(), b.column("first"), strict=True):
-            hit = np.flatnonzero(np.frombuffer(first.as_buffer(), np.int64) < doc)
+        for c1, c2, least, start, found in zip(*(b.column(c).to_pylist() for c in ("c1", "c2", "least", "start")), b.column(4), strict=True):
+            hit = np.flatnonzero(hits(found.as_buffer(), least))
             if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > WINDOW)
-                out += [(doc, start + x, start + y + WINDOW) for x, y in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
+                cut = np.flatnonzero(np.diff(hit) > window)
+                out += [(c1, c2, start + x, start + y + window) for x, y in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
         if out:
             yield batch(schema, *zip(*out, strict=True))
 
 
-def text_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, cls) of all rows, and (cls, doc_id, size) with the smallest document of each text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            buf, offs = raw(b.column(1))
-            yield batch(schema, b.column(0), [digest(buf[x:y].tobytes()) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
-
-    members = keep(docs.mapInArrow(run, "doc_id long, cls long"), "texts")
-    return members, keep(members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("size")), "classes")
-
-
-def spans_by_document(docs: DataFrame, spans: DataFrame, members: DataFrame, whole: DataFrame) -> DataFrame:
-    """docs with spans (an array, maybe null) and whole (all of it goes), both decided by doc_id."""
-    per = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    all_of = whole.select("doc_id").distinct().withColumn("whole", F.lit(True))
-    return docs.join(per.join(all_of, "doc_id", "full"), "doc_id", "left")
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the word stretches that go (spans), and whole: a copy of a smaller document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members, classes = text_classes(docs)
-    routed = keep(route(docs, Words(), classes), "routed")
-    spans = decided(routed, _shard, "first binary", SHARD_BYTES).select("doc_id", "start", "first").mapInArrow(_repeats, "doc_id long, a long, b long")
-    copies = members.join(classes.where("size > 1").select("cls", F.col("doc_id").alias("least")), "cls").where("doc_id > least")
-    return spans_by_document(docs, spans, members, copies)
+    docs = named(docs)
+    classes = text_classes(docs)
+    routed = keep(route(docs, Words(), classes.where("least is not null")), "routed")
+    found = decided(routed, Words(), _shard, "first", SHARD_BYTES).select("c1", "c2", "least", "start", "first")
+    spans = found.mapInArrow(lambda it: hit_spans(it, lambda first, least: np.frombuffer(first, np.int64) < least, WINDOW), "c1 long, c2 long, a long, b long")
+    out = spans_by_text(docs, spans, classes)
+    return out.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"), (F.col("doc_id") > F.col("least")).alias("whole"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
