@@ -5,13 +5,14 @@ Repeated 400-byte strings are routed to shards of bounded size (see
 its contexts and sorts their suffixes by the difference cover modulo 3: sampled
 triples are sorted and named, the names are sorted by recursion until they
 differ, and the other suffixes are merged in.  Suffixes with a common 400-byte
-prefix are then neighbours; neighbours are compared by that prefix, and a group
+prefix are then neighbours; these bytes of neighbours are compared, and a group
 of more than one place (counting equal texts and contexts) is a repeat.
 
 Strings are judged on the input and never cross documents.  A text that occurs
 more than once goes as a whole if it has 400 bytes.  Null text is empty.  Texts
-may end up as bytes that are not UTF-8.  doc_id is expected to be unique; rows
-without doc_id keep all their bytes and count only as copies of equal texts.
+may end up as bytes that are not UTF-8.  Every row is a document, whether its doc_id
+is null, repeated or neither.  Other columns than doc_id and text are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Units, decided, route
-from .kernels import BYTE, chunks, mix, powers, raw
+from .anchors import Units, decided, named, route, spans_by_text, text_classes
+from .kernels import BYTE, chunks, mix, powers, ragged, raw
 from .store import batch, blobs, keep
-from .substring import covered, spans_by_document, text_classes
+from .substring import covered, hit_spans
 
 WINDOW = 400
+SHARD_BYTES = 1 << 20
+COMPARED = 4 << 20
 
 
 def rolling(buf: np.ndarray, k: int) -> np.ndarray:
@@ -108,6 +111,38 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_prefix(data: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Whether each of the sorted suffixes but the last shares its first k bytes with the next (all have k).
+
+    Eight bytes at both ends and in the middle are compared first.  Of what is left, pairs that lie
+    at one distance and follow one another in the text overlap in all bytes but one, so each run of
+    them is compared once.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    eight = sum(padded[j : j + len(data)] << np.uint64(8 * j) for j in range(8))
+    left = np.arange(max(len(order) - 1, 0))
+    for at in (0, k - 8, (k - 8) // 2):
+        left = left[eight[order[left] + at] == eight[order[left + 1] + at]]
+    same = np.zeros(max(len(order) - 1, 0), bool)
+    first, shift = order[left], order[left + 1] - order[left]
+    by = np.lexsort((first, shift))
+    left, first, shift = left[by], first[by], shift[by]
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(first) != 1) | (np.diff(shift) != 0)])) if len(left) else left
+    size = np.diff(np.append(edge, len(left)))
+    stop = np.cumsum(size + k - 1)
+    lo = 0
+    while lo < len(edge):  # runs of some million bytes together
+        hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + COMPARED, "right")))
+        run = slice(lo, hi)
+        at = ragged(first[edge[run]], size[run] + k - 1)
+        wrong = np.concatenate([[0], np.cumsum(data[at] != data[at + np.repeat(shift[edge[run]], size[run] + k - 1)])])
+        begin = np.cumsum(size[run] + k - 1) - (size[run] + k - 1)
+        spot = ragged(begin, size[run])
+        same[left[ragged(edge[run], size[run])]] = wrong[spot + k] == wrong[spot]
+        lo = hi
+    return same
+
+
 def _shard(table: pa.Table) -> pa.Table:
     """For every window of every context, whether it has more than one place."""
     weight, n = table["weight"].to_numpy(), table["windows"].to_numpy()
@@ -127,8 +162,7 @@ def _shard(table: pa.Table) -> pa.Table:
             place[a : a + k] = True
         order = suffix_array(data.astype(np.int64) + 1)
         order = order[place[order]]
-        h = rolling(data, WINDOW)[order]
-        group = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        group = np.cumsum(np.concatenate([[0], ~same_prefix(data, order, WINDOW)]))
         total = np.bincount(group, weights=weight[owner[order]])
         hit = np.zeros(len(data), bool)
         hit[order] = total[group] > 1
@@ -137,27 +171,14 @@ def _shard(table: pa.Table) -> pa.Table:
     return pa.table({"anchor": table["anchor"], "cid": table["cid"], "hits": blobs(n, np.concatenate(flags).astype(np.uint8).tobytes())})
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    for b in batches:
-        out = []
-        for doc, start, hits in zip(b.column("doc_id").to_pylist(), b.column("start").to_pylist(), b.column("hits"), strict=True):
-            hit = np.flatnonzero(np.frombuffer(hits.as_buffer(), np.uint8))
-            if len(hit):
-                cut = np.flatnonzero(np.diff(hit) > WINDOW)
-                out += [(doc, start + x, start + y + WINDOW) for x, y in zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)]
-        if out:
-            yield batch(schema, *zip(*out, strict=True))
-
-
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the byte stretches that go (spans), and whole: its text occurs again."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members, classes = text_classes(docs)
+    docs = named(docs)
+    classes = text_classes(docs)
     routed = keep(route(docs, Bytes(), classes), "routed")
-    spans = decided(routed, _shard, "hits binary").select("doc_id", "start", "hits").mapInArrow(_spans, "doc_id long, a long, b long")
-    copies = members.join(classes.where("size > 1").select("cls"), "cls")
-    return spans_by_document(docs, spans, members, copies)
+    found = decided(routed, Bytes(), _shard, "hits", SHARD_BYTES).select("c1", "c2", "least", "start", "hits")
+    spans = found.mapInArrow(lambda it: hit_spans(it, lambda hits, _: np.frombuffer(hits, np.uint8), WINDOW), "c1 long, c2 long, a long, b long")
+    return spans_by_text(docs, spans, classes).select("doc_id", "text", "spans", (F.col("size") > 1).alias("whole"))
 
 
 def _cut(docs: DataFrame, column: str, result: Callable[[bytes], object], kind: pa.DataType) -> DataFrame:
