@@ -51,11 +51,18 @@ def run(spark: SparkSession, a: argparse.Namespace) -> list[str]:
     os.makedirs(a.out, exist_ok=True)
     sheets, files = {}, []
     for name, view in views.items():
-        top = V.system_summary(events, view, info.ref_tsc) if view.level == "system" else V.summary(events, view, info.ref_tsc)
+        names = V.distinct_values(view.kept(events), "name")
+        detailed = V.details(events, view, info.ref_tsc, names)
+        if view.level == "system":  # read for its statistics and for its file
+            detailed = detailed.persist(StorageLevel.MEMORY_AND_DISK)
+            top = V.system_summary(events, view, info.ref_tsc, names=names, detailed=detailed)
+        else:
+            top = V.summary(events, view, info.ref_tsc, names)
         sheets[name + "_summary"] = table(top, view.level, info.modules)
         if not a.no_details:
             files.append(os.path.join(a.out, f"{name}_details.csv"))
-            write_csv(V.details(events, view, info.ref_tsc), files[-1], single_file=not a.memory_saver, sort=not a.memory_saver)
+            write_csv(detailed, files[-1], single_file=not a.memory_saver, sort=not a.memory_saver)
+        detailed.unpersist()
     files.append(os.path.join(a.out, "summary.xlsx"))
     write_xlsx(files[-1], sheets)
     events.unpersist()

@@ -156,10 +156,10 @@ def statistics_rows(detailed: DataFrame, columns: list[str], accuracy: int | Non
     return wide.orderBy("i").select("stat", *map(col, columns))
 
 
-def system_summary(df: DataFrame, view: View, ref_tsc: float, accuracy: int | None = None) -> DataFrame:
-    """The system summary with its statistics below; columns that only one part has are null in the other."""
-    names = distinct_values(view.kept(df), "name")
-    top, detailed = summary(df, view, ref_tsc, names), details(df, view, ref_tsc, names)
+def system_summary(df: DataFrame, view: View, ref_tsc: float, accuracy: int | None = None, names: list[str] | None = None, detailed: DataFrame | None = None) -> DataFrame:
+    """The system summary with its statistics below; columns that only one part has are null in the other.  detailed: the view's details, if they are at hand."""
+    names = distinct_values(view.kept(df), "name") if names is None else names
+    top, detailed = summary(df, view, ref_tsc, names), details(df, view, ref_tsc, names) if detailed is None else detailed
     columns = [c for c in detailed.columns if c not in view.index]
     return top.unionByName(statistics_rows(detailed, columns, accuracy), allowMissingColumns=True) if columns else top
 
