@@ -57,6 +57,7 @@ CHUNK = 1024  # classes, and
 CHUNK_SHINGLES = 1 << 19  # shingles of a chunk that is compared with another
 FEW = 6  # an entry of more sets is a column of a matrix
 COLUMNS = 1024
+SALTS = 8
 LEAST = 4  # smaller sets have no partner but an equal one
 
 
@@ -381,7 +382,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         release(spark)
         needed = keep(_needed(met.where("tag >= 0").select(F.col("a").alias("sig"), F.col("b").alias("node"), "tag"), classes), "needed")
         hubs = needed.groupBy("sig").agg(F.min("node").alias("hub"))
-        stars = survive(keep(needed.join(hubs, "sig").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars"))
+        stars = survive(keep(beside(needed, hubs, "sig").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars"))
         pairs = survive(keep(prune(met.where("tag = -1").select("a", "b").unionByName(stars).distinct(), classes), "pairs"))
     release(spark)
     with passing(spark):
@@ -417,6 +418,13 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     return left.select(*docs.columns).unionByName(rows.where(~words).select(*docs.columns))
 
 
+def beside(rows: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """rows (node, ...) joined with a table that has one row for each key; rows of a frequent key go to ``SALTS`` tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    many = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(many, [key, "_salt"]).drop("_salt")
+
+
 def _needed(hot: DataFrame, classes: DataFrame) -> DataFrame:
     """(sig, node) of frequent signatures and the classes that can't do without them; hot has tag: 1 lower band, 2 always needed."""
     lost = hot.where("tag < 2").groupBy("node", "tag").agg(F.count("*").alias("lost"))
@@ -430,11 +438,11 @@ def _joined(stars: DataFrame, classes: DataFrame, sets: DataFrame, comps: DataFr
     spot = stars.select(F.col("a").alias("hub"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("hub"), F.col("a").alias("node"))).distinct()
     spot = spot.join(comps, "node", "left").select("hub", "node", F.coalesce("comp", "node").alias("comp")).join(classes.select("node", "n"), "node")
     home = spot.where("hub = node").select("hub", F.col("comp").alias("home"))
-    spot = spot.join(home, "hub").withColumn("away", F.col("comp") != F.col("home"))
+    spot = beside(spot, home, "hub").withColumn("away", F.col("comp") != F.col("home"))
     # chunks of the hub's own component come first, then the others; two chunks of the former need no comparison
     need = lambda away: F.greatest(F.ceil(F.sum(F.when(away, F.col("n"))) / CHUNK_SHINGLES), F.ceil(F.count(F.when(away, 1)) / CHUNK)).cast("long")
     wide = spot.groupBy("hub").agg(need(~F.col("away")).alias("g"), need(F.col("away")).alias("r")).where("r > 0")
-    spot = spot.join(wide, "hub").withColumn("chunk", F.when(F.col("away"), F.col("g") + F.pmod(F.xxhash64("node"), F.col("r"))).otherwise(F.pmod(F.xxhash64("node"), F.col("g"))))
+    spot = beside(spot, wide, "hub").withColumn("chunk", F.when(F.col("away"), F.col("g") + F.pmod(F.xxhash64("node"), F.col("r"))).otherwise(F.pmod(F.xxhash64("node"), F.col("g"))))
     others = F.sequence(F.when(F.col("away"), F.lit(0).cast("long")).otherwise(F.col("g")), F.col("g") + F.col("r") - 1)
     spot = spot.withColumn("other", F.explode(others)).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
     block = spot.select("hub", "i", "j", "chunk", "node", "comp").join(sets, "node")
