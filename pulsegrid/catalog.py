@@ -11,11 +11,13 @@ from .functions import formula as fm
 from .functions import numeric as N
 from .operators import reshape as R
 from .plans import views as V
-from .plans.compute import compute_metrics, metric
+from .plans.compute import available, compute_metrics, metric
 from .scratch import scratch
 from .sources.trace import event_device, in_range, read_trace, uncore_devices
 from .sinks.csv import ordered, write_csv
-from .sources import sysinfo
+from .sinks.xlsx import table
+from .sources import metrics_xml, sysinfo
+from .streaming.replay import replay
 from .schema import SAMPLING_TIME
 
 REF = 2000.0
@@ -276,6 +278,60 @@ def trace_details_csv(spark, sf_dir):
     return back.select(F.col("group").cast("int").alias("grp"), F.to_timestamp_ntz("timestamp").alias("timestamp"), F.col("socket").cast("int").alias("socket"), number("useful").alias("useful"), number("UNC_CHA_HITS").alias("hits"))
 
 
+INFO = sysinfo.parse(TRACE_HEAD)
+query("header_processors", "SELECT i AS unit, i // 2 AS socket, i // 2 AS core, i % 2 AS thread FROM range(4) r(i)")(
+    lambda s, d: s.createDataFrame([(p["unit"], p["socket"], p["core"], p["thread"]) for p in INFO.topology()], "unit long, socket long, core long, thread long"))
+query("header_symbols", "SELECT * FROM (VALUES ('SYSTEM_TSC_FREQ', 2e9::DOUBLE), ('SOCKET_COUNT', 2.0), ('CORES_PER_SOCKET', 1.0), ('THREADS_PER_SOCKET', 2.0), ('THREADS_PER_CORE', 1.0)) t(name, value)")(
+    lambda s, d: s.createDataFrame([(k, INFO.symbols()[k]) for k in ("SYSTEM_TSC_FREQ", "SOCKET_COUNT", "CORES_PER_SOCKET", "THREADS_PER_SOCKET", "THREADS_PER_CORE")], "name string, value double"))
+XML = """<root><metric name="reuse"><event alias="a">click</event><event alias="b">view</event><constant alias="k">2</constant><formula>a / b * k</formula><formula socket="0">a</formula><description>by view</description></metric>
+<metric name="late"><event alias="a">click:retire_latency</event><formula>a</formula></metric><metric name="empty"><event alias="a">click</event></metric></root>"""
+
+
+@query("metric_definitions", "SELECT * FROM (VALUES ('reuse', 'a/b*k', 'a=click,b=view', 'k=2', '', 'by view', true), ('late', 'a', '', '', 'a=click:retire_latency', NULL, false)) t(name, formula, events, constants, latencies, description, known)")
+def metric_definitions(spark, sf_dir):
+    pairs = lambda x: ",".join(f"{k}={v}" for k, v in sorted(x.items()))
+    rows = [(m.name, m.formula, pairs(m.events), pairs(m.constants), pairs(m.latencies), m.description, available(m, set(NAMES))) for m in metrics_xml.parse(XML)]
+    return spark.createDataFrame(rows, "name string, formula string, events string, constants string, latencies string, description string, known boolean")
+
+
+@query("metric_from_xml", f"WITH {RAW}, {WIDE} SELECT grp, timestamp, round(click / view * 2, 4) AS reuse FROM w")
+def metric_from_xml(spark, sf_dir):
+    out, names = compute_metrics(V.details_pivot(raw(spark, sf_dir), VIEWS["system"], REF, NAMES), metrics_xml.parse(XML))
+    return tidy(out.select("group", "timestamp", *names))
+
+
+LEVELS = ["system", "socket", "core", "thread", "uncore"]
+query("view_names", f"SELECT level, device, '__edp_' || CASE device WHEN '\"core\"' THEN '' ELSE lower(substr(device, 5)) || '_' END || level || '_view_details' AS name FROM (SELECT unnest({LEVELS}) AS level), (SELECT DISTINCT device FROM (SELECT CASE event_type WHEN 'error' THEN 'UNC_ERR' ELSE '\"core\"' END AS device FROM events))")(
+    lambda s, d: s.createDataFrame([(v, x["device"], V.view_name(x["device"], v, "details")) for x in raw(s, d).where("device <> 'SYSTEM'").select("device").distinct().collect() for v in LEVELS], "level string, device string, name string"))
+
+
+@query("summary_sheet", f"""WITH {RAW}, f AS (SELECT name, socket, unit, sum(tsc) AS tsc, sum(value) AS value FROM raw WHERE device NOT IN ('UNC_ERR', 'SYSTEM') GROUP BY ALL), c AS (SELECT name, socket, sum({PLAIN_RATE}) AS v FROM f GROUP BY ALL)
+SELECT name, round(max(v) FILTER (socket = 0), 4) AS "Socket 0", round(max(v) FILTER (socket = 1), 4) AS "Socket 1" FROM c GROUP BY name""")
+def summary_sheet(spark, sf_dir):
+    """The rows of a worksheet: events down, entities across."""
+    head, *rows = table(V.summary(raw(spark, sf_dir), VIEWS["socket"], REF, OF["socket"]), "socket")
+    return tidy(spark.createDataFrame(rows, "name string, " + ", ".join(f"`{h}` double" for h in head[1:])))
+
+
+query("stream_sums", f"WITH {RAW} SELECT name, socket, unit, round(sum(tsc), 4) AS tsc, round(sum(value), 4) AS value FROM raw GROUP BY ALL")(lambda s, d: stream_sums(s, d))
+
+
+def stream_sums(spark, sf_dir):
+    """The running sums after a stream of the events has been replayed."""
+    path, out = scratch(spark, "stream"), scratch(spark, "sums")
+    raw(spark, sf_dir).withColumn("timestamp", F.col("timestamp").cast("timestamp")).write.parquet(path)
+    last: list[str] = []
+
+    def each(sums: DataFrame, batch: int) -> None:
+        last.append(f"{out}/{batch}")
+        sums.write.mode("overwrite").parquet(last[-1])
+
+    running = replay(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), VIEWS["system"], each, "0 seconds")
+    running.processAllAvailable()
+    running.stop()
+    return tidy(spark.read.parquet(last[-1]))
+
+
 @query("pivot_aggregates", """SELECT l_linestatus, round(sum(l_quantity) FILTER (l_returnflag = 'A'), 4) AS "sum A", round(sum(l_quantity) FILTER (l_returnflag = 'N'), 4) AS "sum N", round(sum(l_quantity) FILTER (l_returnflag = 'R'), 4) AS "sum R",
 round(median(l_tax) FILTER (l_returnflag = 'A'), 4) AS "median A", round(median(l_tax) FILTER (l_returnflag = 'N'), 4) AS "median N", round(median(l_tax) FILTER (l_returnflag = 'R'), 4) AS "median R",
 count(l_tax) FILTER (l_returnflag = 'A') AS "count A", count(l_tax) FILTER (l_returnflag = 'N') AS "count N", count(l_tax) FILTER (l_returnflag = 'R') AS "count R" FROM lineitem GROUP BY l_linestatus""")
