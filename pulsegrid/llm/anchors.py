@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix, raw
-from .store import batch, keep, release
+from .store import batch, keep, passing, release, survive
 
 PLACE = np.uint64((1 << 24) - 1)
 LEVELS = 3
@@ -239,7 +239,12 @@ def _divided(units: Units, level: int):
     return lambda it: merged(run(it), schema, 2000)
 
 
-def spans_by_text(docs: DataFrame, spans: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs of named() with least and size of their text's class and its spans (an array of (a, b), maybe null)."""
-    per = spans.groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    return docs.join(classes.join(per.hint("merge"), ["c1", "c2"], "left").hint("merge"), ["c1", "c2"], "left")
+def spans_by_text(docs: DataFrame, spans: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """docs of named() with least and size of their text's class and the spans (an array of (a, b), maybe null) that spans(docs, classes) gives by text; its scratch tables are removed."""
+    spark = docs.sparkSession
+    with passing(spark):
+        classes = text_classes(docs)
+        per = spans(docs, classes).groupBy("c1", "c2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+        known = survive(keep(classes.join(per.hint("merge"), ["c1", "c2"], "left"), "spans"))
+    release(spark)
+    return docs.join(known.hint("merge"), ["c1", "c2"], "left")

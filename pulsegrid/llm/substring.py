@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Units, decided, named, route, spans_by_text, text_classes
+from .anchors import Units, decided, named, route, spans_by_text
 from .kernels import chunks, grams, raw, spans_hash, words
 from .store import batch, blobs, keep
 
 WINDOW = 50
-SHARD_BYTES = 1 << 17  # an automaton takes over a hundred times its text
+SHARD_BYTES = 1 << 17  # an automaton takes over fifty times its text
 
 
 class Words(Units):
@@ -155,12 +155,13 @@ def hit_spans(batches: Iterator[pa.RecordBatch], hits: Callable[[pa.Buffer, int]
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the word stretches that go (spans), and whole: a copy of a smaller document."""
-    docs = named(docs)
-    classes = text_classes(docs)
-    routed = keep(route(docs, Words(), classes.where("least is not null")), "routed")
-    found = decided(routed, Words(), _shard, "first", SHARD_BYTES).select("c1", "c2", "least", "start", "first")
-    spans = found.mapInArrow(lambda it: hit_spans(it, lambda first, least: np.frombuffer(first, np.int64) < least, WINDOW), "c1 long, c2 long, a long, b long")
-    out = spans_by_text(docs, spans, classes)
+
+    def spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
+        routed = keep(route(docs, Words(), classes.where("least is not null")), "routed")
+        found = decided(routed, Words(), _shard, "first", SHARD_BYTES).select("c1", "c2", "least", "start", "first")
+        return found.mapInArrow(lambda it: hit_spans(it, lambda first, least: np.frombuffer(first, np.int64) < least, WINDOW), "c1 long, c2 long, a long, b long")
+
+    out = spans_by_text(named(docs), spans)
     return out.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("spans")).alias("spans"), (F.col("doc_id") > F.col("least")).alias("whole"))
 
 

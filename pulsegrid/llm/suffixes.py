@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import Units, decided, named, route, spans_by_text, text_classes
+from .anchors import Units, decided, named, route, spans_by_text
 from .kernels import BYTE, chunks, mix, powers, ragged, raw
 from .store import batch, blobs, keep
 from .substring import covered, hit_spans
@@ -173,12 +173,13 @@ def _shard(table: pa.Table) -> pa.Table:
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with the byte stretches that go (spans), and whole: its text occurs again."""
-    docs = named(docs)
-    classes = text_classes(docs)
-    routed = keep(route(docs, Bytes(), classes), "routed")
-    found = decided(routed, Bytes(), _shard, "hits", SHARD_BYTES).select("c1", "c2", "least", "start", "hits")
-    spans = found.mapInArrow(lambda it: hit_spans(it, lambda hits, _: np.frombuffer(hits, np.uint8), WINDOW), "c1 long, c2 long, a long, b long")
-    return spans_by_text(docs, spans, classes).select("doc_id", "text", "spans", (F.col("size") > 1).alias("whole"))
+
+    def spans(docs: DataFrame, classes: DataFrame) -> DataFrame:
+        routed = keep(route(docs, Bytes(), classes), "routed")
+        found = decided(routed, Bytes(), _shard, "hits", SHARD_BYTES).select("c1", "c2", "least", "start", "hits")
+        return found.mapInArrow(lambda it: hit_spans(it, lambda hits, _: np.frombuffer(hits, np.uint8), WINDOW), "c1 long, c2 long, a long, b long")
+
+    return spans_by_text(named(docs), spans).select("doc_id", "text", "spans", (F.col("size") > 1).alias("whole"))
 
 
 def _cut(docs: DataFrame, column: str, result: Callable[[bytes], object], kind: pa.DataType) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import batch, keep
+from .store import batch, keep, passing, survive
 
 SHARD = 8192
 QUERY_BLOCK = 2048
@@ -214,7 +214,12 @@ def _upper(lo: np.ndarray, hi: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest inner products of each query; both have (vec_id, embedding)."""
+    """query_id, rank, vec_id, score: the k highest inner products of each query; both have (vec_id, embedding).  Scratch tables are removed, but for the answer."""
+    with passing(vectors.sparkSession):
+        return survive(keep(_ranked(vectors, queries, k), "topk"))
+
+
+def _ranked(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     kind = "vec_id long, dim int, vec binary"
     points = keep(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(whole_numbers, kind), "points")
     asked = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(whole_numbers, kind)

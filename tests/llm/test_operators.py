@@ -197,15 +197,20 @@ def test_hot_passage_is_split(spark, monkeypatch):
     from pulsegrid.llm import anchors
 
     kept = anchors.keep
-    monkeypatch.setattr(anchors, "keep", lambda table, name: sizes.append((name, kept(table, name))) or sizes[-1][1])
+
+    def weighed(table, name):
+        out = kept(table, name)
+        if name == "contexts":
+            sizes.append(out.groupBy("anchor").agg(F.sum(F.octet_length("context")).alias("n")).agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(anchors, "keep", weighed)
     assert {x["doc_id"]: x["n_removed"] for x in substring.repeat_digests(df).collect()} == {i: len(g) for i, g in gone.items()}
     byte = {i: t.encode() for i, t in rows}
     count = Counter(b[s : s + 400] for b in byte.values() for s in range(len(b) - 399))
     want = {i: sum(any(count[b[s : s + 400]] > 1 for s in range(max(0, p - 399), min(p, len(b) - 400) + 1)) for p in range(len(b))) for i, b in byte.items()}
     assert {x["doc_id"]: x["n_removed"] for x in suffixes.remove_repeated_bytes(df).collect()} == want
-    of = [t.groupBy("anchor").agg(F.sum(F.octet_length("context")).alias("n")).agg(F.max("n")).first()[0] for name, t in sizes if name == "contexts"]
-    assert max(of) > 40_000, of
-    assert min(of) < 20_000, of
+    assert max(sizes) > 40_000 and min(sizes) < 20_000, sizes
 
 
 def test_substring_dedup_of_odd_ids(spark):
@@ -355,19 +360,24 @@ def test_bpe_in_blocks(spark, docs, monkeypatch):
 def test_topk_leaves_far_shards_out(spark, monkeypatch):
     """Rows in clusters: the boxes of far clusters send no tree, and the answer is that of all rows."""
     monkeypatch.setattr(topk, "SHARD", 50)
-    rng, sent = np.random.default_rng(8), []
+    rng, kept = np.random.default_rng(8), {}
     x = np.repeat(rng.normal(size=(16, 8)) * 4, 60, axis=0) + rng.normal(size=(960, 8)) * 0.05
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     keep = topk.keep
-    monkeypatch.setattr(topk, "keep", lambda table, name: sent.append((name, keep(table, name))) or sent[-1][1])
+
+    def counted(table, name):
+        out = keep(table, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(topk, "keep", counted)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.topk(df, df.where("vec_id % 50 = 0")).collect()}
     whole = np.floor(256 * x).astype(np.int64)
     for q in range(0, 960, 50):
         score = whole @ whole[q]
         best = sorted((-score[i], i) for i in range(960) if i != q)[:5]
         assert [got[q, n] for n in range(1, 6)] == [(i, -s) for s, i in best]
-    kept = dict(sent)
-    blocks, trees, pairs = (kept[n].count() for n in ("queries", "trees", "pairs"))
+    blocks, trees, pairs = (kept[n] for n in ("queries", "trees", "pairs"))
     assert trees >= 16 and pairs < 0.25 * blocks * trees
 
 
