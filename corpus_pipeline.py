@@ -22,7 +22,7 @@ from pulsegrid.llm.decontam import without_items
 from pulsegrid.llm.jaccard import first_of_groups
 from pulsegrid.llm.langid import held_out, predict, train
 from pulsegrid.llm.linededup import dedup_lines
-from pulsegrid.llm.store import fresh, keep
+from pulsegrid.llm.store import fresh, keep, passing, survive
 
 LEAST_SCORE = 0.5
 
@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
-    return docs
+    """The rows of the last stage; tables of the others are removed."""
+    with passing(spark):
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES:
+            docs = keep(stage(spark, docs, sf_dir), name)
+        return survive(docs)
