@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-RELEASE_S = 0.2
+RELEASE_S = 0.5
 _LOCAL: list[str] = []
 _OPEN: list[list[str]] = []
 
