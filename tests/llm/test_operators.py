@@ -79,6 +79,31 @@ def test_library_in_long_texts():
     assert [x.tolist() for x in e.encode(some)] == [x.ids for x in t.encode_batch(some, add_special_tokens=False)]
 
 
+def test_library_gets_frequent_words_once(monkeypatch):
+    """A full cache lets rare words go and keeps those that came again; ids are the library's all the while."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 300)
+    r = random.Random(41)
+    e, asked = tokenfile.LibraryEncoder(bpe.vocabulary_path()), Counter()
+    ask = e.words_to_ids
+    monkeypatch.setattr(e, "words_to_ids", lambda w: asked.update(w) or ask(w))
+    hot = [f" hot{chr(97 + i % 26) * (i % 7 + 1)}" for i in range(40)]
+    some = ["".join(hot) + "".join(f" {r.randrange(10**9)}\n{r.randrange(10**9)}" for _ in range(40)) + "".join(hot) for _ in range(20)]
+    want = [x.ids for x in library().encode_batch(some, add_special_tokens=False)]
+    assert [x.tolist() for t in some for x in e.encode([t])] == want
+    assert len(e.known) < 700 and {asked[w.encode()] for w in {h.rstrip("0123456789") for h in hot}} == {1}
+
+
+def test_library_beside_clashing_hashes(monkeypatch):
+    """Pre-tokens with one hash are found out by their bytes, and a table of many words grows."""
+    r = random.Random(42)
+    many = [" ".join(str(r.randrange(10**8)) for _ in range(40_000)), "Überraschung <|endoftext|> 日本", None, "", "it's 'tis\n\n  x"]
+    want = [x.ids for x in library().encode_batch([t or "" for t in many], add_special_tokens=False)]
+    assert [x.tolist() for x in tokenfile.LibraryEncoder(bpe.vocabulary_path()).encode(many)] == want
+    plain = tokenfile.mix
+    monkeypatch.setattr(tokenfile, "mix", lambda x, salt=0: plain(x, salt) & np.uint64(0x3FF))
+    assert [x.tolist() for x in tokenfile.LibraryEncoder(bpe.vocabulary_path()).encode(many)] == want
+
+
 def test_code_is_a_limited_prefix_code():
     for counts in ([5], [0, 3, 1], [1] * 1000, [2**i for i in range(40)], list(range(2000))):
         lens = tokenfile.code_lengths(np.array(counts))
